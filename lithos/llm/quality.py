@@ -8,7 +8,6 @@ probability that it is good, not by passing every rule.
 
 from __future__ import annotations
 
-from functools import reduce
 from math import log
 
 import numpy as np
@@ -30,7 +29,7 @@ STOP[list(b".!?")] = True
 NEWLINE = np.zeros(256, bool)
 NEWLINE[10] = True
 WINDOW = 8
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_digits", "n_stops", "n_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_digits", "n_stops", "n_distinct", "n_alpha_words")
 
 
 def first_of_each(keys: np.ndarray) -> np.ndarray:
@@ -61,9 +60,10 @@ def counts_of(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         hit = at[n[inverse] > 1]
         covered[hit] += 1
         covered[hit + WINDOW] -= 1
+    letters = np.append(0, np.cumsum(LETTER[data]))
     return [
         np.diff(first), chars, bt.per_text(MARKS[data], offs), bt.per_text(again, lf), bt.per_text(np.cumsum(covered)[:-1] > 0, first),
-        bt.per_text(has, lf), bt.per_text(LETTER[data], offs), bt.per_text(DIGIT[data], offs), bt.per_text(STOP[data], offs), bt.per_text(first_of_each(h ^ salt[owner]), first),
+        bt.per_text(has, lf), bt.per_text(LETTER[data], offs), bt.per_text(DIGIT[data], offs), bt.per_text(STOP[data], offs), bt.per_text(first_of_each(h ^ salt[owner]), first), bt.per_text(letters[end] > letters[start], first),
     ]
 
 
@@ -90,39 +90,52 @@ def rules() -> dict[str, Column]:
         "symbols": vote("200 * n_symbols <= n_words", "10 * n_symbols > n_words"),
         "line_repeats": vote("n_lines >= 2 and n_dup_lines = 0", "n_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
         "word_repeats": vote("n_words >= 20 and 100 * n_repeat_words <= 5 * n_words", "100 * n_repeat_words > 30 * n_words"),
-        "letters": vote("10 * n_letters >= 8 * word_chars and n_words > 0", "2 * n_letters < word_chars"),
+        "letters": vote("10 * n_letters >= 8 * word_chars and n_words > 0", "10 * n_letters < 7 * word_chars"),
+        "wordless": vote("100 * n_alpha_words >= 95 * n_words and n_words > 0", "10 * n_alpha_words < 8 * n_words"),
         "digits": vote("50 * n_digits <= word_chars and n_words >= 20", "5 * n_digits > word_chars"),
         "sentences": vote("n_stops > 0 and n_words between 2 * n_stops and 60 * n_stops", "n_words >= 100 and n_stops = 0"),
         "variety": vote("n_words >= 20 and 4 * n_distinct >= n_words", "n_words >= 50 and 10 * n_distinct < n_words"),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-9) -> tuple[float, list[float]]:
-    """EM for one hidden binary label and rules that are right with a probability of their own
-    whenever they vote: (prior of good, accuracies). Accuracies stay within 0.55 and 0.99 and
-    the prior within 0.05 and 0.95, which fixes which label is which and keeps odds finite.
-    Counts are smoothed by one right vote in 0.8 of two."""
-    m = len(patterns[0][0]) if patterns else 0
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tolerance: float = 1e-9) -> dict:
+    """EM for one hidden label (good or bad) and rules that vote independently given it.
+
+    A rule's accuracies are P(vote | label) for its three outcomes, bad, abstain and good,
+    because a rule may be sharp on bad texts and blunt on good ones. It starts from
+    responsibilities that fall with the number of bad votes; every update is smoothed by two
+    votes of the starting belief, and no rule may favour the wrong label. Returns prior,
+    given_good and given_bad (rules x outcomes), and accuracy: P(right | it votes).
+    """
     if not patterns:
-        return 0.5, []
-    votes, n = np.array([p for p, _ in patterns], float), np.array([c for _, c in patterns], float)
-    prior, acc = 0.7, np.full(m, 0.8)
+        return {"prior": 0.5, "given_good": np.zeros((0, 3)), "given_bad": np.zeros((0, 3)), "accuracy": np.zeros(0)}
+    votes, n = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
+    hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    belief = np.array([[0.05, 0.15, 0.8], [0.5, 0.2, 0.3]])
+    good = 0.95 * 0.3 ** (votes < 0).sum(axis=1)
+    prior = 0.5
     for _ in range(rounds):
-        odds = log(prior / (1 - prior)) + votes @ np.log(acc / (1 - acc))
-        good = 1 / (1 + np.exp(-odds))
-        right = ((votes > 0) * good[:, None] + (votes < 0) * (1 - good)[:, None]) * n[:, None]
-        cast = (votes != 0) * n[:, None]
-        new = np.clip((right.sum(0) + 1.6) / (cast.sum(0) + 2), 0.55, 0.99)
-        prior2 = float(np.clip((good * n).sum() / n.sum(), 0.05, 0.95))
-        moved = max(abs(prior2 - prior), float(np.abs(new - acc).max()))
-        prior, acc = prior2, new
+        prior = float(np.clip((good * n).sum() / n.sum(), 0.05, 0.95))
+        theta = np.stack([(w[:, None, None] * hot).sum(axis=0) + 2 * b for w, b in zip((good * n, (1 - good) * n), belief, strict=True)])
+        theta /= theta.sum(axis=2, keepdims=True)
+        wrong = (theta[0, :, 0] > theta[1, :, 0]) | (theta[1, :, 2] > theta[0, :, 2])
+        theta[:, wrong] = theta.mean(axis=0)[wrong]
+        odds = np.log(prior / (1 - prior)) + (hot * np.log(theta[0] / theta[1])).sum(axis=(1, 2))
+        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        moved = float(np.abs(new - good).max())
+        good = new
         if moved < tolerance:
             break
-    return prior, acc.tolist()
+    right = theta[0, :, 2] * prior + theta[1, :, 0] * (1 - prior)
+    cast = right + theta[0, :, 0] * prior + theta[1, :, 2] * (1 - prior)
+    return {"prior": prior, "given_good": theta[0], "given_bad": theta[1], "accuracy": right / cast}
 
 
-def posterior(prior: float, accuracy: list[float], votes: list[Column]) -> Column:
-    odds = reduce(lambda a, b: a + b, [v * F.lit(log(a / (1 - a))) for v, a in zip(votes, accuracy, strict=True)], F.lit(log(prior / (1 - prior))))
+def posterior(model: dict, votes: list[Column]) -> Column:
+    odds = F.lit(log(model["prior"] / (1 - model["prior"])))
+    for v, g, b in zip(votes, model["given_good"], model["given_bad"], strict=True):
+        low, mid, high = (float(log(x / y)) for x, y in zip(g, b, strict=True))
+        odds = odds + F.when(v < 0, low).when(v > 0, high).otherwise(mid)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
@@ -131,7 +144,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     n_repeat_words, base_failed, kept, quality (posterior probability of being good).
 
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows found twice
-    or more in the text. kept is false then, else quality >= keep_at. Null and empty texts
+    or more in the text. kept is false then, else quality >= keep_at; the estimates come from
+    the rows that do not fail. Null and empty texts
     have no words and fail. Rows are scored one by one, ids passed on as they are; repeated
     rows each weigh in the estimates. The driver gets the vote patterns with their counts,
     at most 3 to the power of the number of rules. An empty table gives an empty result.
@@ -140,9 +154,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     names = list(rules())
     marked = cut(features(docs, id_col, text_col).select("*", *[c.alias(f"vote_{k}") for k, c in rules().items()]), "votes")
     cols = [f"vote_{k}" for k in names]
-    table = sorted((tuple(r[:-1]), r[-1]) for r in marked.groupBy(*cols).count().collect())
-    prior, accuracy = estimate(table)
-    quality = posterior(prior, accuracy, [F.col(c) for c in cols]) if table else F.lit(0.5)
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
+    table = sorted((tuple(r[:-1]), r[-1]) for r in marked.where(~failed).groupBy(*cols).count().collect())
+    quality = posterior(estimate(table), [F.col(c) for c in cols]) if table else F.lit(0.5)
     out = marked.select(id_col, *COUNTS[:5], failed.alias("base_failed"), (~failed & (quality >= keep_at)).alias("kept"), quality.alias("quality"), *(cols if with_votes else []))
     return out
