@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import cut, keyed, prepare, public_id, record, scan, strings
+from .common import NO_ID, cut, keyed, prepare, public_id, record, scan, strings
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SEED2 = 0x5DEECE66D
@@ -236,3 +236,16 @@ def drop_common_lines(docs: DataFrame, threshold: int = 10, least: int = 1, inde
     joined = rows.join(index.common_lines(rows), ["_id", "_th"], "left").select("_id", "text", "drop")
     out = scan(joined, fn, "_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * keep_text)
     return out.select(public_id(id_col), *out.columns[1:])
+
+
+def rewrite(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """docs with all their columns, text without the index's common lines. Null texts stay null."""
+    id_col, text_col = index.names
+    rows = keyed(docs, id_col, text_col)
+    drop = index.common_lines(rows).withColumnRenamed("_id", "_did").withColumnRenamed("_th", "_dth")
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    tagged = docs.withColumn("_did", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_dth", F.xxhash64(t))
+    parts = F.split(F.col(text_col), "\n", -1)
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n")
+    out = tagged.join(drop, ["_did", "_dth"], "left").withColumn(text_col, F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(left))
+    return out.select(*docs.columns)
