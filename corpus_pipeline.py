@@ -14,19 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.llm import language, lines, pieces, simhash, tiling
-from lithos.llm.common import shared_dir, table
+from lithos.llm.common import cut, shared_dir, table
 from lithos.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is this uncertain is rejected; text in two languages stays well above.
 LEAST_SCORE = 0.3
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (one column). The list is written first;
+    only if it is known to be short is it broadcast, else both sides are shuffled."""
+    ids = cut(ids.toDF("_doc").distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_doc"]), "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language cannot be told, go."""
     found = language.identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE))
-    rejected = found.select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_doc"]), "left_anti").select(*COLUMNS)
+    return without(docs, found.select("doc_id"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +46,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays. Texts
-    without words, left by line dedup, are not copies of each other: all stay."""
+    """Of each group of near duplicates the row with the smallest id stays."""
     groups = simhash.near_duplicates(docs)
-    extra = groups.where((F.col("component_id") != F.col("doc_id")) & (F.col("fingerprint") != "0" * 16)).select(F.col("doc_id").alias("_doc"))
-    return docs.join(extra, docs["doc_id"] == extra["_doc"], "left_anti").select(*COLUMNS)
+    return without(docs, groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold most of a benchmark item go."""
-    leaks = tiling.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_doc"]), "left_anti").select(*COLUMNS)
+    return without(docs, tiling.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
