@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import cut, record, scan, strings
+from .common import cut, discard, record, scan, strings
 
 POS_BITS = 28
 OPEN_ROWS = 1 << 15
@@ -130,10 +130,14 @@ def repeated(docs: DataFrame, found: DataFrame, unit: str, window: int, earlier_
     group = found.groupBy(*key).agg(F.min("_id").alias("_d0"), F.count("*").alias("_c"))
     several = group.groupBy("kg").agg(F.count("*").alias("_m")).where("_m > 1").select("kg", F.lit(True).alias("_several"))
     group = group.join(several, "kg", "left").where("_c > 1 or _several")
-    marked = cut(found.join(group, key).withColumn("_hit", F.expr("_id > _d0" if earlier_only else "_c > 1")), "runs")
-    settled = marked.where("_hit").select("_id", "_th", "lo", "n")
-    opened = marked.where("_several and _id = _d0").groupBy("_id", "_th").agg(F.collect_list(F.struct("kg", "lo", "n")).alias("runs"))
-    single = cut(open_windows(docs.join(opened, ["_id", "_th"]).select("_id", "_th", "text", "runs"), unit, window), "windows")
+    hit, first = F.expr("_id > _d0" if earlier_only else "_c > 1"), F.expr("coalesce(_several, false) and _id = _d0")
+    marked = found.join(group, key).where(hit | first)
+    settled = F.collect_list(F.when(hit, F.struct("lo", "n"))).alias("cover")
+    opened = F.collect_list(F.when(first, F.struct("kg", "lo", "n"))).alias("runs")
+    marked = cut(marked.groupBy("_id", "_th").agg(settled, opened), "runs")
+    discard(found)
+    unsure = docs.join(marked.where("size(runs) > 0").select("_id", "_th", "runs"), ["_id", "_th"])
+    single = cut(open_windows(unsure.select("_id", "_th", "text", "runs"), unit, window), "windows")
     key = ["kg", "h"]
     if earlier_only:
         seen = single.groupBy(*key).agg(F.min("_id").alias("_d0"), F.max("_id").alias("_d1")).where("_d0 < _d1").drop("_d1")
@@ -141,8 +145,11 @@ def repeated(docs: DataFrame, found: DataFrame, unit: str, window: int, earlier_
     else:
         seen = single.groupBy(*key).agg(F.count("*").alias("_c")).where("_c > 1").select(*key)
         more = single.join(seen, key)
-    every = settled.unionByName(more.select("_id", "_th", "lo", F.lit(1).alias("n")))
-    return every.groupBy("_id", "_th").agg(F.collect_list(F.struct("lo", "n")).alias("cover"))
+    more = more.groupBy("_id", "_th").agg(F.collect_list(F.struct("lo", F.lit(1).alias("n"))).alias("cover"))
+    every = marked.where("size(cover) > 0").select("_id", "_th", "cover").unionByName(more)
+    cover = cut(every.groupBy("_id", "_th").agg(F.flatten(F.collect_list("cover")).alias("cover")), "cover")
+    discard(marked, single)
+    return cover
 
 
 def covered(cover: pa.ListArray, row0: int, row1: int, first: np.ndarray, window: int) -> np.ndarray:

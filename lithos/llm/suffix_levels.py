@@ -63,7 +63,7 @@ class SuffixLevels:
             x = x.groupBy(*key).agg(F.count("*").alias("_copies"))
             found = x if found is None else found.unionByName(x)
         found = found.groupBy(*key).agg(F.max("_copies").alias("_copies"))
-        return cut(found.select(*key, F.explode(F.expr("sequence(1L, _copies)"))).drop("col"), "suffixes")
+        return cut(found.select(*key, F.explode(F.expr("sequence(1L, _copies)"))).drop("col"), "matched")
 
 
 def drop_repeated_bytes(docs: DataFrame, window: int = 200, seed: int = 64, batches: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
