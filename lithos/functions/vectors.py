@@ -48,12 +48,15 @@ def saturation(n, k: float) -> Column:
 def fused(e_def, e_dom, pools: list[tuple], lam: float = 0.6) -> Column:
     """Definition and domain vectors, then each pool prototype (vector, size, saturation size,
     weight) added as far as it points the same way (V08)."""
+    def one(v: Column, a: Column, p, n, k: float, w: float) -> Column:
+        gain = F.coalesce(saturation(n, k) * F.greatest(F.lit(0.0), dot(a, p)) * w, F.lit(0.0))
+        p0 = F.coalesce(col(p), F.transform(a, lambda x: F.lit(0.0)))
+        return let(gain, lambda g: F.zip_with(v, p0, lambda x, y: x + y * g))
+
     def add(a: Column) -> Column:
         v = a
-        for p, n, k, w in pools:
-            gain = F.coalesce(saturation(n, k) * F.greatest(F.lit(0.0), dot(a, p)) * w, F.lit(0.0))
-            p0 = F.coalesce(col(p), F.transform(a, lambda x: F.lit(0.0)))
-            v = let(gain, lambda g, v=v, p0=p0: F.zip_with(v, p0, lambda x, y: x + y * g))
+        for pool in pools:
+            v = one(v, a, *pool)
         return unit_vector(v)
 
     return let(unit_vector(mix(e_def, e_dom, lam, 1 - lam)), add)

@@ -45,7 +45,7 @@ def parse_abstracts(rows: DataFrame, id_col: str = "id", xml_col: str = "xml") -
                 try:
                     out += [{"id": key, **abstract_fields(a), "error": None} for a in articles_in(xml or "", ("PubmedArticle", "PubmedBookArticle"))]
                 except ET.ParseError as e:
-                    out.append({"id": key, "error": str(e)})
+                    out.append(dict.fromkeys(("pmid", "title", "journal", "year", "abstract")) | {"id": key, "error": str(e)})
             yield pd.DataFrame(out, columns=["id", "pmid", "title", "journal", "year", "abstract", "error"])
 
     return rows.select(F.col(id_col).cast("string").alias("id"), F.col(xml_col).alias("xml")).mapInPandas(run, ABSTRACT)
@@ -79,7 +79,7 @@ def parse_articles(rows: DataFrame, id_col: str = "id", xml_col: str = "xml") ->
                 try:
                     out += [{"id": key, **x, "error": None} for x in article_parts(xml or "")]
                 except ET.ParseError as e:
-                    out.append({"id": key, "error": str(e)})
+                    out.append(dict.fromkeys(("title", "abstract", "sections")) | {"id": key, "error": str(e)})
             yield pd.DataFrame(out, columns=["id", "title", "abstract", "sections", "error"])
 
     return rows.select(F.col(id_col).cast("string").alias("id"), F.col(xml_col).alias("xml")).mapInPandas(run, ARTICLE)
