@@ -12,6 +12,7 @@ position in each 200-byte window keeps about 1.5 % of the suffixes and misses no
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,51 +20,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import cut, keyed, prepare, public_id, record, scan, strings
-from .repeats import anchors, covered, repeated, survivors, with_cover
+from .common import cut, discard, keyed, prepare, public_id, record, scan, strings
+from .repeats import anchors, covered, repeated, with_cover
 
 
 class SuffixLevels:
-    """levels[i] is None or the array of 2**i batches. `matched` gathers what merge scans found."""
+    """levels[i] is None or the array of 2**i batches; `found` holds the beginnings that merge
+    scans met at two places. A scan compares beginnings only, so what it writes is one hash for
+    each repeated one, however often it repeats."""
 
     def __init__(self, window: int = 200, seed: int = 64):
         self.window, self.seed = window, min(seed, window)
         self.levels: list[DataFrame | None] = []
-        self.matched: list[DataFrame] = []
+        self.found: list[DataFrame] = []
+
+    def arrays(self) -> list[DataFrame]:
+        return [x for x in self.levels if x is not None]
 
     def append(self, rows: DataFrame, last: bool = False) -> None:
-        """rows: _id, _th, text. last: no batch follows, so the new array is only scanned."""
-        fresh = anchors(rows, "byte", self.window, self.seed)
-        held = [x for x in self.levels if x is not None]
-        if not held and last:
-            self.matched.append(cut(survivors(fresh), "suffixes"))
-            return
-        fresh = cut(fresh.sortWithinPartitions("kg"), "suffixes")
-        self.matched.append(survivors(fresh))
-        for level in held:
-            self.matched.append(fresh.join(level.select("kg").distinct(), "kg", "left_semi"))
-            self.matched.append(level.join(fresh.select("kg").distinct(), "kg", "left_semi"))
-        if last:
-            return
-        carry, i = fresh, 0
-        while i < len(self.levels) and self.levels[i] is not None:
-            carry, self.levels[i] = cut(self.levels[i].unionByName(carry).repartition("kg").sortWithinPartitions("kg"), "level"), None
+        """rows: _id, _th, text. last: no batch follows, so the new array need not be merged."""
+        fresh = cut(anchors(rows, "byte", self.window, self.seed).sortWithinPartitions("kg"), "suffixes")
+        self.found.append(cut(fresh.groupBy("kg").agg(F.count("*").alias("c")).where("c > 1").select("kg"), "found"))
+        for level in self.arrays():
+            self.found.append(cut(fresh.select("kg").distinct().join(level.select("kg").distinct(), "kg"), "found"))
+        i = len(self.levels) if last else 0
+        while i < len(self.levels) and (level := self.levels[i]) is not None:
+            merged = cut(level.unionByName(fresh).repartition("kg").sortWithinPartitions("kg"), "level")
+            discard(level, fresh)
+            fresh, self.levels[i] = merged, None
             i += 1
         if i == len(self.levels):
             self.levels.append(None)
-        self.levels[i] = carry
+        self.levels[i] = fresh
 
     def survivors(self) -> DataFrame:
-        """Suffixes whose beginning occurs at two places in all batches so far."""
-        if len(self.matched) == 1:
-            return self.matched[0]
-        key = ["kg", "ctx", "_id", "_th", "lo", "n"]
-        found = None
-        for x in self.matched:  # a suffix may match in several scans; rows that are wholly equal each count
-            x = x.groupBy(*key).agg(F.count("*").alias("_copies"))
-            found = x if found is None else found.unionByName(x)
-        found = found.groupBy(*key).agg(F.max("_copies").alias("_copies"))
-        return cut(found.select(*key, F.explode(F.expr("sequence(1L, _copies)"))).drop("col"), "matched")
+        """Suffixes whose beginning occurs at two places in all batches so far; the index is used up."""
+        every = reduce(DataFrame.unionByName, self.arrays())
+        found = reduce(DataFrame.unionByName, self.found).distinct()
+        out = cut(every.join(found, "kg", "left_semi"), "matched")
+        discard(*self.arrays(), *self.found)
+        self.levels, self.found = [], []
+        return out
 
 
 def drop_repeated_bytes(docs: DataFrame, window: int = 200, seed: int = 64, batches: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
