@@ -11,8 +11,9 @@ handled level by level:
 2. Survivors are extended: those whose whole run (all its windows, at the same offsets)
    is equal are grouped. Here almost all copied text is settled, without a row per window.
 3. What is left are k-windows met in different surroundings, mostly at the ends of copied
-   passages. Only their runs, one per distinct surrounding, are taken apart into single
-   windows of full length and counted.
+   passages. Only their runs, one per distinct surrounding, are taken apart: long ones into
+   blocks first, of which only those whose common core repeats go on, then into single
+   windows of full length, which are counted.
 
 A window is identified by two 64-bit hashes, one of its anchor and one of its content.
 """
@@ -28,7 +29,7 @@ from . import bytetext as bt
 from .common import cut, discard, record, scan, strings
 
 POS_BITS = 28
-OPEN_ROWS = 1 << 15
+ENTRY = "kg long, ctx long, _id long, _th long, lo int, n int, at int"
 U = np.uint64
 
 
@@ -50,7 +51,7 @@ def sliding_min(a: np.ndarray, m: int) -> np.ndarray:
 
 
 def runs(values: np.ndarray, first: np.ndarray, window: int, k: int):
-    """Anchors of all windows: (text, anchor hash, run hash, first window in its text, number of windows)."""
+    """Anchors of all windows: (text, anchor hash, run hash, first window in its text, number of windows, anchor in its text)."""
     ok = bt.whole(first, window)
     starts = np.flatnonzero(ok)
     if not len(starts):
@@ -70,7 +71,7 @@ def runs(values: np.ndarray, first: np.ndarray, window: int, k: int):
     anchor, hi = pick[at], lo + count + window - 1
     ctx = bt.mix(bt.mix((p[hi] - p[lo]) * inv[lo]) + (anchor - lo).astype(np.uint64) * U(0x9E3779B97F4A7C15) + count.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
     text = np.searchsorted(first, lo, "right") - 1
-    return text, bt.mix(g[anchor] + U(1)), ctx, lo - first[text], count
+    return text, bt.mix(g[anchor] + U(1)), ctx, lo - first[text], count, anchor - first[text]
 
 
 def anchors(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
@@ -80,22 +81,27 @@ def anchors(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
         ids, th, out = b.column(0).to_numpy(), b.column(1).to_numpy(), []
         for lo, _, data, offs in bt.pieces(strings(b.column(2))):
             if (r := runs(*symbols(data, offs, unit), window, k)) is not None:
-                out.append((r[1].view(np.int64), r[2].view(np.int64), ids[lo + r[0]], th[lo + r[0]], r[3].astype(np.int32), r[4].astype(np.int32)))
+                out.append((r[1].view(np.int64), r[2].view(np.int64), ids[lo + r[0]], th[lo + r[0]], *(x.astype(np.int32) for x in r[3:])))
         if not out:
             return None
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return record(**dict(zip(("kg", "ctx", "_id", "_th", "lo", "n"), cols, strict=True)))
+        return record(**dict(zip(("kg", "ctx", "_id", "_th", "lo", "n", "at"), cols, strict=True)))
 
-    return scan(docs, fn, "kg long, ctx long, _id long, _th long, lo int, n int")
+    return scan(docs, fn, ENTRY)
 
 
-def open_windows(docs: DataFrame, unit: str, window: int) -> DataFrame:
-    """docs: _id, _th, text, runs (array of kg, lo, n). One row per window of those runs."""
+def open_parts(docs: DataFrame, unit: str, window: int, block: int) -> DataFrame:
+    """docs: _id, _th, text, runs (array of kg, lo, n, at). The runs taken apart, as new entries.
+
+    With block = 1 each window is an entry (kg, ctx, lo, n = 1) of its own content. With a larger
+    block a run is cut where the distance to its anchor is a multiple of block, so that equal
+    content is cut alike; the new anchor of a part is the stretch that all windows of a whole
+    block have in common: if that occurs once, no window of the part can repeat."""
 
     def fn(b: pa.RecordBatch):
         ids, th, text, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), strings(b.column(2)), b.column(3)
         each = lists.flatten()
-        kg, lo, n = (each.field(i).to_numpy() for i in range(3))
+        kg, lo, n, anchor = (each.field(i).to_numpy() for i in range(4))
         cuts = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
         out = []
         for r0, r1, data, offs in bt.pieces(text):
@@ -103,15 +109,25 @@ def open_windows(docs: DataFrame, unit: str, window: int) -> DataFrame:
             p = bt.prefix(values)
             s = slice(cuts[r0], cuts[r1])
             row = np.repeat(np.arange(r1 - r0), np.diff(cuts[r0 : r1 + 1]))
-            run = np.repeat(np.arange(len(row)), n[s])
-            i = lo[s][run] + np.arange(len(run)) - np.repeat(np.append(0, np.cumsum(n[s]))[:-1], n[s])
-            a = first[row[run]] + i
-            h = bt.mix(bt.span_hash(p, a, a + window))
-            out.append((kg[s][run], h.view(np.int64), ids[r0 + row[run]], th[r0 + row[run]], i.astype(np.int32)))
+            # distance of the anchor from the first and the last window of the run
+            far, near = (anchor[s] - lo[s]).astype(np.int64), (anchor[s] - lo[s] - n[s] + 1).astype(np.int64)
+            k0, k1 = near // block, far // block
+            parts = k1 - k0 + 1
+            run = np.repeat(np.arange(len(row)), parts)
+            k = k0[run] + np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+            d1, d0 = np.minimum(far[run], (k + 1) * block - 1), np.maximum(near[run], k * block)
+            base, at = first[row[run]], anchor[s][run].astype(np.int64)
+            start, end = base + at - d1, base + at - d0 + window
+            ctx = bt.mix(bt.mix(bt.span_hash(p, start, end)) + (d1 - d0).astype(np.uint64))
+            key = kg[s][run].view(np.uint64)
+            if block > 1:
+                core = bt.span_hash(p, base + at - k * block, base + at - (k + 1) * block + 1 + window)
+                key = bt.mix(key ^ bt.mix(core + k.astype(np.uint64)))
+            out.append((key.view(np.int64), ctx.view(np.int64), ids[r0 + row[run]], th[r0 + row[run]], (at - d1).astype(np.int32), (d1 - d0 + 1).astype(np.int32), at.astype(np.int32)))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return record(**dict(zip(("kg", "h", "_id", "_th", "lo"), cols, strict=True)))
+        return record(**dict(zip(("kg", "ctx", "_id", "_th", "lo", "n", "at"), cols, strict=True)))
 
-    return scan(docs, fn, "kg long, h long, _id long, _th long, lo int")
+    return scan(docs, fn, ENTRY)
 
 
 def survivors(entries: DataFrame) -> DataFrame:
@@ -121,34 +137,40 @@ def survivors(entries: DataFrame) -> DataFrame:
     return entries.join(twice, "kg")
 
 
-def repeated(docs: DataFrame, found: DataFrame, unit: str, window: int, earlier_only: bool) -> DataFrame:
+def repeated(docs: DataFrame, found: DataFrame, unit: str, window: int, k: int, earlier_only: bool) -> DataFrame:
     """Repeated windows of each text, as runs: _id, _th, cover (array of lo, n), from its survivors.
 
     earlier_only: a window counts if it also starts in a row with a smaller _id; otherwise
-    if it also starts at any other place."""
-    key = ["kg", "ctx"]
-    group = found.groupBy(*key).agg(F.min("_id").alias("_d0"), F.count("*").alias("_c"))
-    several = group.groupBy("kg").agg(F.count("*").alias("_m")).where("_m > 1").select("kg", F.lit(True).alias("_several"))
-    group = group.join(several, "kg", "left").where("_c > 1 or _several")
+    if it also starts at any other place. Runs are settled whole, then in blocks, then singly."""
     hit, first = F.expr("_id > _d0" if earlier_only else "_c > 1"), F.expr("coalesce(_several, false) and _id = _d0")
-    marked = found.join(group, key).where(hit | first)
-    settled = F.collect_list(F.when(hit, F.struct("lo", "n"))).alias("cover")
-    opened = F.collect_list(F.when(first, F.struct("kg", "lo", "n"))).alias("runs")
-    marked = cut(marked.groupBy("_id", "_th").agg(settled, opened), "runs")
-    discard(found)
-    unsure = docs.join(marked.where("size(runs) > 0").select("_id", "_th", "runs"), ["_id", "_th"])
-    single = cut(open_windows(unsure.select("_id", "_th", "text", "runs"), unit, window), "windows")
-    key = ["kg", "h"]
+    key, covers, block = ["kg", "ctx"], [], (window - k + 1) // 8
+    for size in [block, 1] if block >= 4 else [1]:
+        group = found.groupBy(*key).agg(F.min("_id").alias("_d0"), F.count("*").alias("_c"))
+        several = group.groupBy("kg").agg(F.count("*").alias("_m")).where("_m > 1").select("kg", F.lit(True).alias("_several"))
+        group = group.join(several, "kg", "left").where("_c > 1 or _several")
+        marked = found.join(group, key).where(hit | first)
+        settled = F.collect_list(F.when(hit, F.struct("lo", "n"))).alias("cover")
+        opened = F.collect_list(F.when(first, F.struct("kg", "lo", "n", "at"))).alias("runs")
+        marked = cut(marked.groupBy("_id", "_th").agg(settled, opened), "runs")
+        discard(found)
+        covers.append(marked)
+        unsure = docs.join(marked.where("size(runs) > 0").select("_id", "_th", "runs"), ["_id", "_th"])
+        parts = open_parts(unsure.select("_id", "_th", "text", "runs"), unit, window, size)
+        found = cut(parts, "parts")
+        if size > 1:
+            parts, found = found, cut(survivors(found), "parts")
+            discard(parts)
     if earlier_only:
-        seen = single.groupBy(*key).agg(F.min("_id").alias("_d0"), F.max("_id").alias("_d1")).where("_d0 < _d1").drop("_d1")
-        more = single.join(seen, key).where("_id > _d0")
+        seen = found.groupBy(*key).agg(F.min("_id").alias("_d0"), F.max("_id").alias("_d1")).where("_d0 < _d1").drop("_d1")
+        more = found.join(seen, key).where("_id > _d0")
     else:
-        seen = single.groupBy(*key).agg(F.count("*").alias("_c")).where("_c > 1").select(*key)
-        more = single.join(seen, key)
-    more = more.groupBy("_id", "_th").agg(F.collect_list(F.struct("lo", F.lit(1).alias("n"))).alias("cover"))
-    every = marked.where("size(cover) > 0").select("_id", "_th", "cover").unionByName(more)
+        seen = found.groupBy(*key).agg(F.count("*").alias("_c")).where("_c > 1").select(*key)
+        more = found.join(seen, key, "left_semi")
+    every = more.groupBy("_id", "_th").agg(F.collect_list(F.struct("lo", "n")).alias("cover"))
+    for marked in covers:
+        every = every.unionByName(marked.where("size(cover) > 0").select("_id", "_th", "cover"))
     cover = cut(every.groupBy("_id", "_th").agg(F.flatten(F.collect_list("cover")).alias("cover")), "cover")
-    discard(marked, single)
+    discard(found, *covers)
     return cover
 
 

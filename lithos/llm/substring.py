@@ -33,7 +33,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str =
     k = min(seed, window)
     rows = keyed(docs, id_col, text_col)
     found = cut(survivors(anchors(rows, "word", window, k)), "seeds")
-    cover = repeated(rows, found, "word", window, earlier_only=True)
+    cover = repeated(rows, found, "word", window, k, earlier_only=True)
 
     def fn(b: pa.RecordBatch):
         text, n_words, n_removed, sha, kept = strings(b.column(1)), [], [], [], []

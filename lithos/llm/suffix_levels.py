@@ -78,7 +78,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 200, seed: int = 64, batc
     for i in range(batches):
         part = rows if batches == 1 else rows.where(F.pmod(F.xxhash64("_id", "_th"), F.lit(batches)) == i)
         index.append(part, last=i == batches - 1)
-    cover = repeated(rows, index.survivors(), "byte", window, earlier_only=False)
+    cover = repeated(rows, index.survivors(), "byte", window, min(seed, window), earlier_only=False)
 
     def fn(b: pa.RecordBatch):
         n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
