@@ -132,6 +132,16 @@ def test_approximate_recall(spark):
     assert graph.recall(graph.approximate_knn(e, 10, tables=40, bits=4), graph.knn(e, 10)).first().recall >= 0.9
 
 
+def test_approximate_pieces_and_ties(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((90, 8)).tolist()
+    v[10:60] = [v[10]] * 50
+    df = spark.createDataFrame([*enumerate(v), (None, v[0]), (99, None)], "id long, vec array<double>")
+    monkeypatch.setattr(graph, "PIECE", 20)
+    got = sorted(tuple(r) for r in graph.approximate_knn(df, 3, tables=60, bits=1).select("i", "rank", "j").collect())
+    assert got == sorted(tuple(r) for r in graph.knn(df, 3).select("i", "rank", "j").collect())
+
+
 def test_communities_split_two_cliques(spark):
     pairs = [(a, b) for g in (range(6), range(6, 12)) for a in g for b in g if a < b] + [(0, 6)]
     got = {r.id: r.cluster for r in graph.communities(spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a long, b long, weight double")).collect()}

@@ -7,7 +7,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lithos.plans.queries import ORACLES, QUERIES
+from lithos.operators import graph
+from lithos.plans.queries import ORACLES, QUERIES, embeddings
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,13 @@ def test_term_sets_keep_their_bounds(spark):
 
 def test_gate_passes_on_the_second_attempt(spark):
     assert all(r.ok and r.attempt == 2 and r.coverage == 1.0 for r in QUERIES["gated_generation"](spark, SF).collect())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_registered_approximate_neighbours_recall(spark, sf):
+    at = f"/root/testdata/{sf}"
+    got = QUERIES["approximate_neighbours"](spark, at).toPandas()
+    near = graph.knn(embeddings(spark, at), 10).toPandas()
+    share = len(near.merge(got, on=["i", "j"])) / len(near)
+    print(sf, "recall", share)
+    assert share >= 0.9 and got.groupby("i").size().max() == 10
