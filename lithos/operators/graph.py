@@ -29,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def highest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k highest values of each row, ties by smaller column; -inf is none."""
+    n = min(k, sims.shape[1])
+    least = np.partition(sims, sims.shape[1] - n, axis=1)[:, sims.shape[1] - n, None]
+    above, tie = sims > least, (sims == least) & np.isfinite(sims)
+    return np.nonzero(above | (tie & (np.cumsum(tie, axis=1) <= n - above.sum(axis=1, keepdims=True))))
+
+
 def knn(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "vec", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact top k by inner product, self left out, ties by smaller id: i, j, rank, sim.
 
@@ -42,7 +50,8 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "vec", block_
 
     def close() -> None:
         if ids:
-            blocks.append(spark.sparkContext.broadcast((np.array(ids), np.array(mat))))
+            by = np.argsort(ids, kind="stable")
+            blocks.append(spark.sparkContext.broadcast((np.array(ids)[by], np.array(mat)[by])))
 
     for r in rows.toLocalIterator(prefetchPartitions=True):
         if size >= block_bytes:
@@ -61,12 +70,9 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "vec", block_
                 me = b.column(0).to_numpy()
                 a = b.column(1).flatten().to_numpy().reshape(len(me), -1)
                 for s in range(0, len(me), 512):
-                    sims = a[s : s + 512] @ m.T
+                    sims = np.round(a[s : s + 512] @ m.T, 12)
                     sims[me[s : s + 512, None] == other[None, :]] = -np.inf
-                    n = min(k, sims.shape[1])
-                    # everything at or above the k-th value, so that ties are decided by id below
-                    least = np.partition(sims, sims.shape[1] - n, axis=1)[:, sims.shape[1] - n]
-                    x, y = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+                    x, y = highest(sims, k)
                     yield pa.RecordBatch.from_arrays([pa.array(me[s : s + 512][x]), pa.array(other[y]), pa.array(sims[x, y])], names=["i", "j", "sim"])
 
         one = rows.mapInArrow(run, "i long, j long, sim double")
@@ -109,10 +115,7 @@ def approximate_knn(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "
                 own = at[s : s + 512]
                 sims = np.round(a[own] @ a[to].T, 12)
                 sims[me[own][:, None] == me[to][None, :]] = -np.inf
-                n = min(k, len(to))
-                least = np.partition(sims, len(to) - n, axis=1)[:, len(to) - n, None]
-                above, tie = sims > least, (sims == least) & np.isfinite(sims)
-                r, c = np.nonzero(above | (tie & (np.cumsum(tie, axis=1) <= n - above.sum(axis=1, keepdims=True))))  # ties by smaller id
+                r, c = highest(sims, k)
                 cols.append((me[own][r], me[to][c], sims[r, c]))
         i, j, sim = map(np.concatenate, zip(*cols, strict=True)) if cols else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"i": i, "j": j, "sim": sim})

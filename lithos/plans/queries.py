@@ -380,7 +380,7 @@ def replayed_lookup(spark, sf_dir):
             raise ValueError("bad batch")
         return {k: '{"esearchresult": {"count": "%d", "idlist": []}}' % (2 * int(k)) for k in keys}
 
-    keys = read(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey")
+    keys = read(spark, sf_dir, "part").select("p_partkey")
     got = remote.fetch(keys, "p_partkey", ask, batch=4, gap=0.0, workers=4)
     return got.select("key", F.col("error").isNull().alias("found"), F.coalesce(F.get_json_object("body", "$.esearchresult.count").cast("long"), F.lit(0)).alias("hits"))
 
@@ -497,7 +497,7 @@ def non_neighbours(spark, sf_dir):
 
 @register()
 def encoded_neighbours(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("t")).where("id <= 500")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("t"))
     return graph.knn(models.encode(p, "t", models.hashing_encoder()), 5).select("i", "j", F.round("sim", 5).alias("sim"), "rank")
 
 

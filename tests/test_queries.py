@@ -60,3 +60,14 @@ def test_registered_approximate_neighbours_recall(spark, sf):
     share = len(near.merge(got, on=["i", "j"])) / len(near)
     print(sf, "recall", share)
     assert share >= 0.9 and got.groupby("i").size().max() == 10
+
+
+def test_lookup_and_encoder_take_every_part(spark):
+    at = "/root/testdata/sf0.1"
+    ids = set(spark.read.parquet(f"{at}/part.parquet").toPandas()["p_partkey"])
+    assert len(ids) > 500
+    got = QUERIES["replayed_lookup"](spark, at).toPandas()
+    assert sorted(zip(got["key"].astype(int), got["found"], got["hits"])) == sorted((i, i % 3 > 0, 2 * i if i % 3 else 0) for i in ids)
+    near = QUERIES["encoded_neighbours"](spark, at).toPandas()
+    assert set(near["i"]) == ids and (near.groupby("i").size() == 5).all() and near["j"].max() > 500
+    assert (near["i"] != near["j"]).all()
