@@ -69,7 +69,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def fn(b: pa.RecordBatch):
         col = strings(b.column(1))
         n_words, out = [], []
-        auto = compiled()[1]
         for _, _, data, offs in bt.pieces(col):
             data = bt.LOWER[data]
             start, _, first = bt.words(data, offs, NOT_WORD)
@@ -78,21 +77,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for r in range(len(offs) - 1):
                 text = raw[offs[r] : offs[r + 1]]
                 s = text.decode()
-                labels, base, weights, places, found = set(), set(), [], [], []
-                if any(True for _ in auto.iter(s)):
-                    for pattern, must, label in BASE:
-                        if must in text:
-                            at = [m.start() for m in pattern.finditer(text)]
-                            if at:
-                                places += at
-                                base.add(label)
-                                weights.append(0.9)
-                    found = detections(s)
-                    best = {}
-                    for d in found:
-                        best[d[3]] = max(best.get(d[3], 0.0), d[4])
-                    labels = base | set(best)
-                    weights += [w for k, w in best.items() if k not in base]
+                base, weights, places = set(), [], []
+                for pattern, must, label in BASE:
+                    if must in text:
+                        at = [m.start() for m in pattern.finditer(text)]
+                        if at:
+                            places += at
+                            base.add(label)
+                            weights.append(0.9)
+                found = detections(s)
+                best = {}
+                for d in found:
+                    best[d[3]] = max(best.get(d[3], 0.0), d[4])
+                labels = base | set(best)
+                weights += [w for k, w in best.items() if k not in base]
                 word = [int(np.searchsorted(start, offs[r] + p) - first[r]) for p in places]
                 miss = 1.0
                 for w in weights:

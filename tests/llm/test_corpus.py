@@ -232,6 +232,16 @@ def test_license_base_detections(spark):
     assert [d[3] for d in licenses.detections("spdx-license-identifier: gpl-3.0-only")] == ["gpl-3.0"]
 
 
+def test_license_base_phrases_alone(spark):
+    """Any run of non-word characters may stand between the words, whatever else the text holds."""
+    cases = [(gap.join(words), label) for words, label in ((["CC", "BY"], "cc-by"), (["General", "Public", "License"], "gpl"), (["All", "rights", "reserved"], "reserved")) for gap in (" ", "  ", "\n", "-", ", ", "\n * ")]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, [(i, f"See: {t}.") for i, (t, _) in enumerate(cases)])).collect()}
+    for i, (text, label) in enumerate(cases):
+        r = rows[i]
+        assert (r.n_base, r.first_word, r.last_word, r.base_labels) == (1, 1, 1, label), text
+        assert label in r.labels.split(",") and r.score >= 0.9 - 1e-9
+
+
 def test_tiling_catches_reordered_passages(spark):
     item = " ".join(f"w{i}" for i in range(40))
     w = item.split()
