@@ -23,19 +23,31 @@ LEAST_SCORE = 0.3
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (one column). The list is written first;
-    only if it is known to be short is it broadcast, else both sides are shuffled."""
-    ids = cut(ids.toDF("_doc").distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_doc"]), "left_anti").select(*COLUMNS)
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with _key: the id and two hashes of the text. Rows alike in these are alike for every
+    decision on a text alone; ids, null or repeated, don't tell rows apart."""
+    t = F.coalesce("text", F.lit(""))
+    return docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("h2")))
+
+
+def short(rows: DataFrame) -> DataFrame:
+    """rows written first; only if they are known to be few are they broadcast, else both sides of a join are shuffled."""
+    rows = cut(rows, "rows")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs (see with_key) without the rows whose key is in keys (one column _key)."""
+    gone = short(keys.select("_key.*").distinct().toDF("_id", "_h", "_h2"))
+    same = F.col("_key.id").eqNullSafe(gone["_id"]) & (F.col("_key.h") == gone["_h"]) & (F.col("_key.h2") == gone["_h2"])
+    return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language cannot be told, go."""
-    found = language.identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE))
-    return without(docs, found.select("doc_id"))
+    docs = with_key(docs)
+    found = language.identify(docs, key_col="_key").where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE))
+    return without(docs, found)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +58,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
-    return without(docs, groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id"))
+    """Of each group of near duplicates one row stays, of the smallest id (null first). Rows are
+    numbered, and written with their numbers so that these stay the same."""
+    rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = cut(simhash.near_duplicates(rows, id_col="_row").where("n_near > 0").select("_row", "component_id"), "groups")
+    stay = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first._row")
+    return rows.join(short(groups.join(stay, "_row", "left_anti").select("_row")), "_row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold most of a benchmark item go."""
-    return without(docs, tiling.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    docs = with_key(docs)
+    return without(docs, tiling.contaminated(docs, table(spark, sf_dir, "benchmark"), id_col="_key"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

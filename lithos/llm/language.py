@@ -210,8 +210,8 @@ class Tagger:
 _taggers: dict[str, Tagger] = {}
 
 
-def identify(docs: DataFrame, label: str = "lang", per_label: int = 400, id_col: str = "doc_id", text_col: str = "text", segments: bool = False) -> DataFrame:
-    """One row per input row: id_col, held_out, lang_pred, score, and with segments the runs of
+def identify(docs: DataFrame, label: str = "lang", per_label: int = 400, id_col: str = "doc_id", text_col: str = "text", segments: bool = False, key_col: str | None = None) -> DataFrame:
+    """One row per input row: id_col (key_col where given), held_out, lang_pred, score, and with segments the runs of
     words of one language (array of first word, number of words, label).
 
     Learns from rows with a label whose crc32(id as text) mod 3 is not 1, of which a bounded
@@ -261,6 +261,7 @@ def identify(docs: DataFrame, label: str = "lang", per_label: int = 400, id_col:
             cols["segments"] = pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("lang", pa.string())])))
         return record(**cols)
 
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(rest == 1, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    key_col = key_col or id_col
+    source = docs.select(F.col(key_col).alias("id"), F.coalesce(rest == 1, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {dict(source.dtypes)['id']}, held_out boolean, lang_pred string, score double" + ", segments array<struct<first:int,n:int,lang:string>>" * segments
-    return scan(source, fn, schema).withColumnRenamed("id", id_col)
+    return scan(source, fn, schema).withColumnRenamed("id", key_col)

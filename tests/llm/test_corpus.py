@@ -242,6 +242,7 @@ def test_license_base_phrases_alone(spark):
         assert label in r.labels.split(",") and r.score >= 0.9 - 1e-9
 
 
+
 def test_tiling_catches_reordered_passages(spark):
     item = " ".join(f"w{i}" for i in range(40))
     w = item.split()
@@ -251,8 +252,34 @@ def test_tiling_catches_reordered_passages(spark):
     assert order((r.doc_id, r.item_id, r.n_tiles, r.coverage) for r in rows) == [(1, 9, 2, 1.0), (5, 9, 1, 1.0), (5, 9, 1, 1.0)]
 
 
+
 def test_empty_tables(spark):
     none = frame(spark, []) if False else spark.createDataFrame([], "doc_id long, text string, lang string")
     path, bench = tokenizer("piece_bpe_32k.model"), spark.createDataFrame([], "item_id long, text string")
     for df in (quality.score(none), simhash.near_duplicates(none), token_count.count_tokens(none, tokenizer("byte_bpe_50k.json")), substring.drop_repeats(none), suffix_levels.drop_repeated_bytes(none), lines.drop_common_lines(none), pieces.encode_decode(none, path), language.identify(none), licenses.scan_licenses(none), tiling.contaminated(none, bench)):
         assert df.count() == 0
+
+
+def kept(df):
+    return order((r.doc_id, r.text) for r in df.collect())
+
+
+def test_pipeline_stages_drop_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    def docs(rows):
+        return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, words[0]), (None, words[0]), (None, words[1]), (5, words[2]), (5, words[2]), (5, words[3]), (9, words[4]), (4, words[4]), (7, words[1]), (8, words[5])]
+    want = [(None, words[0]), (None, words[1]), (5, words[2]), (5, words[3]), (4, words[4]), (8, words[5])]
+    assert kept(corpus_pipeline.near_duplicates(spark, docs(rows), "")) == order(want)
+    spark.createDataFrame([(1, words[0])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "x " + words[0]), (None, words[1]), (5, words[0]), (5, words[2]), (5, words[2]), (None, None)]
+    assert kept(corpus_pipeline.decontamination(spark, docs(rows), str(tmp_path))) == order([rows[1], *rows[3:]])
+    real = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    one = real.where("lang = 'en'").orderBy("doc_id").first()
+    more = docs([(one.doc_id, "12 34"), (None, "56 78"), (None, one.text), (None, None)])
+    before, after = kept(real), kept(corpus_pipeline.language_id(spark, real.unionByName(more), SF))
+    assert (one.doc_id, one.text) in after and (None, one.text) in after and not {(one.doc_id, "12 34"), (None, "56 78"), (None, None)} & set(after)
+    assert len(after) <= len(before) + 1
