@@ -81,10 +81,18 @@ def tile(a: np.ndarray, b: np.ndarray, match: int) -> list[tuple[int, int, int]]
                 tiles.append((i, j, best))
 
 
-def coverage(docs: DataFrame, benchmark: DataFrame, match: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def shortest(n: int, match: int) -> int:
+    """Words of the shortest tile for an item of n words: `match`, less for an item of under 4 * match
+    words (a quarter of it, at least 3), the whole of one shorter than `match`."""
+    return n if n < match else min(match, max(3, n // 4))
+
+
+def coverage(docs: DataFrame, benchmark: DataFrame, match: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.0) -> DataFrame:
     """Pairs with at least one tile: id_col, item_id, n_tiles, n_covered, n_item_words, coverage.
 
-    Items of fewer than `match` words match nothing: so short a text tells nothing. The benchmark is taken in blocks of at most BLOCK_BYTES of
+    Tiles have at least `match` words, or fewer in short items (see shortest): an item of fewer
+    than `match` words is matched as a whole. Pairs whose seeds can't reach a coverage of `least` are left out
+    before they are tiled. The benchmark is taken in blocks of at most BLOCK_BYTES of
     text, each sent to all executors and held against every document, so its size is
     bounded whatever the benchmark's is. Null texts have no words; null and repeated ids
     are passed on, one row per pair of rows.
@@ -100,7 +108,7 @@ def coverage(docs: DataFrame, benchmark: DataFrame, match: int = 8, id_col: str
         size += len(r.t)
     out = None
     for block in blocks:
-        one = against(docs, spark.sparkContext.broadcast(block), match, id_col, text_col)
+        one = against(docs, spark.sparkContext.broadcast(block), match, id_col, text_col, least)
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("id", id_col)
 
@@ -108,38 +116,66 @@ def coverage(docs: DataFrame, benchmark: DataFrame, match: int = 8, id_col: str
 _blocks: dict[str, tuple] = {}
 
 
-def against(docs: DataFrame, shared, match: int, id_col: str, text_col: str) -> DataFrame:
+def against(docs: DataFrame, shared, match: int, id_col: str, text_col: str, least: float) -> DataFrame:
     key = uuid4().hex
 
     def index():
+        """Hashed items; for each length of seeds the sorted hashes of all, with item and place of each."""
         if key not in _blocks:
             _blocks.clear()
-            hashed, seeds = [], {}
+            hashed, by_size = [], defaultdict(list)
             for n, (_, t) in enumerate(shared.value):
                 d = np.frombuffer(t, np.uint8)
-                hashed.append(numbered(d, np.array([0, len(d)]))[0])
-                for h in set(bt.grams(hashed[-1], match).tolist()):
-                    seeds.setdefault(h, []).append(n)
-            _blocks[key] = hashed, np.array(sorted(seeds), np.uint64), seeds
+                hashed.append(w := numbered(d, np.array([0, len(d)]))[0])
+                if len(w):
+                    size = shortest(len(w), match)
+                    g = bt.grams(w, size)
+                    by_size[size].append((g, np.full(len(g), n, np.int32), np.arange(len(g), dtype=np.int32)))
+            seeds = []
+            for size, each in sorted(by_size.items()):
+                g, item, place = (np.concatenate(x) for x in zip(*each, strict=True))
+                by = np.argsort(g, kind="stable")
+                seeds.append((size, g[by], item[by], place[by]))
+            _blocks[key] = hashed, seeds
         return _blocks[key]
 
+    def pairs(h: np.ndarray, first: np.ndarray, size: int, known: np.ndarray, item: np.ndarray, place: np.ndarray, lengths: np.ndarray):
+        """(text, item) with seeds of this length that may cover enough."""
+        at = np.flatnonzero(bt.whole(first, size))
+        if not len(at):
+            return
+        g = bt.grams(h, size)[at]
+        left = np.minimum(np.searchsorted(known, g), len(known) - 1)
+        hit = np.flatnonzero(known[left] == g)
+        text = np.searchsorted(first, at[hit], "right") - 1
+        met = np.unique(text.astype(np.int64) * len(known) + left[hit])
+        text, left = met // len(known), met % len(known)
+        right = np.searchsorted(known, known[left], "right")
+        cuts = np.flatnonzero(np.diff(text, prepend=-1))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(text)], strict=False):
+            many = right[lo:hi] - left[lo:hi]
+            i = np.arange(many.sum()) + np.repeat(left[lo:hi] - np.cumsum(many) + many, many)
+            by = np.lexsort((place[i], item[i]))
+            n, p = item[i][by], place[i][by]
+            begin = np.flatnonzero(np.diff(n, prepend=-1))
+            step = np.minimum(np.diff(p, append=0), size)
+            step[np.append(begin[1:], len(n)) - 1] = size
+            reach = np.add.reduceat(step, begin)
+            for x in n[begin][reach >= least * lengths[n[begin]] - 1e-6].tolist():
+                yield int(text[lo]), x
+
     def fn(b: pa.RecordBatch):
-        hashed, known, seeds = index()
+        hashed, seeds = index()
         ids, rows = b.column(0), []
+        lengths = np.array([len(w) for w in hashed])
         for r0, _, data, offs in bt.pieces(strings(b.column(1))):
             h, first = numbered(data, offs)
-            at = np.flatnonzero(bt.whole(first, match))
-            if not len(at) or not len(known):
-                continue
-            g = bt.grams(h, match)[at]
-            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g)
-            text = np.searchsorted(first, at[hit], "right") - 1
-            pairs = {(d, n) for d, x in zip(text.tolist(), g[hit].tolist(), strict=True) for n in seeds[x]}
-            for d, n in sorted(pairs):
-                w = hashed[n]
-                t = tile(h[first[d] : first[d + 1]], w, match)
-                covered = sum(x[2] for x in t)
-                rows.append((r0 + d, shared.value[n][0], len(t), covered, len(w), covered / len(w)))
+            for size, *known in seeds:
+                for d, n in pairs(h, first, size, *known, lengths):
+                    w = hashed[n]
+                    t = tile(h[first[d] : first[d + 1]], w, size)
+                    covered = sum(x[2] for x in t)
+                    rows.append((r0 + d, shared.value[n][0], len(t), covered, len(w), covered / len(w)))
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
@@ -151,4 +187,4 @@ def against(docs: DataFrame, shared, match: int, id_col: str, text_col: str) ->
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, match: int = 8, **names: str) -> DataFrame:
     """Pairs of a row and a benchmark item of which it holds at least `threshold` (see coverage)."""
-    return coverage(docs, benchmark, match, **names).where(F.col("coverage") >= threshold)
+    return coverage(docs, benchmark, match, least=threshold, **names).where(F.col("coverage") >= threshold)

@@ -252,6 +252,13 @@ def test_tiling_catches_reordered_passages(spark):
     assert order((r.doc_id, r.item_id, r.n_tiles, r.coverage) for r in rows) == [(1, 9, 2, 1.0), (5, 9, 1, 1.0), (5, 9, 1, 1.0)]
 
 
+def test_tiling_of_short_items(spark):
+    w = [f"w{i}" for i in range(15)]
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, "the capital of France"), (3, "a b c d e f g h")], "item_id long, text string")
+    docs = [(1, " ".join(["x", *w[7:], "y", *w[:7]])), (2, " ".join([*w[:7], "new", *w[8:]])), (3, "What is the Capital of France?"), (4, "the capital of Spain, of France"), (5, "a b c d X f g h"), (6, "a b c X d e X f X g h"), (None, "w1 w2 w3 w4 w5 w6 w7 w8")]
+    rows = tiling.contaminated(frame(spark, docs), bench).collect()
+    assert order((r.doc_id, r.item_id, r.n_covered) for r in rows) == [(1, 1, 15), (2, 1, 14), (3, 2, 4), (5, 3, 7)]
+
 
 def test_empty_tables(spark):
     none = frame(spark, []) if False else spark.createDataFrame([], "doc_id long, text string, lang string")
