@@ -8,6 +8,7 @@ one of higher priority, or inside a longer one of equal priority, is suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,21 @@ NOT_WORD = ~WORD
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 _in, _out = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]"
 BASE = [(re.compile(b"(?<!" + _in + b")" + (_out + b"+").join(p.encode().split(b" ")) + b"(?!" + _in + b")"), p.encode().split(b" ")[-1], label) for p, label in PHRASES]
+#: A mark that begins (or ends) a line of a comment, and what is reduced to one blank: line ends with such marks about them, and other white space.
+MARK = r"""(?:/\*+!?|\*+/?|//+!?|\#+!?|;+|--+>?|%+|<!--+|!+|>+|\||\.?\\"|["'](?=\s)|(?:dnl|rem)\b)"""
+GAP = re.compile(rf"[^\S\n]*(?:(?<=\s){MARK}[^\S\n]*)?\n(?:\s*{MARK})*\s*|\s\s+|[^\S ]")
+
+
+def flattened(text: str) -> tuple[str, list[int], list[int]]:
+    """text with each GAP as one blank; where its unchanged stretches begin, there and in text."""
+    parts, here, there, end, n = [], [0], [0], 0, 0
+    for m in GAP.finditer(text):
+        parts += text[end : m.start()], " "
+        n += m.start() - end + 1
+        end = m.end()
+        here.append(n)
+        there.append(end)
+    return "".join([*parts, text[end:]]), here, there
 
 
 @lru_cache(maxsize=1)
@@ -42,8 +58,15 @@ def compiled():
 
 
 def detections(text: str) -> list[tuple[int, int, int, str, float]]:
-    """(start, end, priority, label, weight) in lower-cased text, suppressed ones left out, by start."""
+    """(start, end, priority, label, weight) in lower-cased text, suppressed ones left out, by start.
+    Rules see the text flattened, so that phrases may be wrapped; places are those in text."""
     every, auto = compiled()
+    text, here, there = flattened(text)
+
+    def place(p: int) -> int:
+        k = bisect_right(here, p) - 1
+        return there[k] + p - here[k]
+
     named = "licen" in text
     tried = sorted({i for _, (_, at) in auto.iter(text) for i in at if named or not every[i][5]})
     found = [(m.start(), m.end(), every[i][1], every[i][0], every[i][4], i) for i in tried for m in every[i][3].finditer(text) if m.end() > m.start()]
@@ -51,7 +74,7 @@ def detections(text: str) -> list[tuple[int, int, int, str, float]]:
     for d in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0], d[5])):
         if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
             kept.append(d)
-    return sorted(d[:5] for d in kept)
+    return sorted((place(d[0]), place(d[1] - 1) + 1, *d[2:5]) for d in kept)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:

@@ -242,6 +242,19 @@ def test_license_base_phrases_alone(spark):
         assert label in r.labels.split(",") and r.score >= 0.9 - 1e-9
 
 
+def test_license_rules_match_wrapped_texts():
+    for text, label in (
+        ("redistribution and use in source and binary forms, with or without\nmodification, are permitted", "bsd"), ("you can redistribute it and/or modify\n * it under the terms of the gnu lesser", "lgpl"),
+        ("# the gnu general public\n#license version  2", "gpl-2.0"), ("// x *\n// gnu general *\r\n\n// public license,\tversion 3", "gpl-3.0"), ("mit\u00a0license", "mit"),
+    ):
+        for edge in ("", "ü\n\n *  "):
+            found = licenses.detections(edge + text + "\n end")
+            assert label in [d[3] for d in found], text
+    text = "é\n * \n * see the gnu  general\n * public license.\n"
+    ((start, end, *_),) = licenses.detections(text)
+    assert text[start:end] == "gnu  general\n * public license"
+    assert licenses.detections("mit * license, general ; public license") == []
+
 
 def test_tiling_catches_reordered_passages(spark):
     item = " ".join(f"w{i}" for i in range(40))
