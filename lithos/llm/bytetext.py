@@ -1,8 +1,9 @@
 """Word and byte arithmetic on UTF-8 buffers, vectorised with numpy.
 
 Hashes are polynomials over a random symbol table modulo 2**64 with an odd base, so the
-hash of any stretch comes from two prefix sums and one power. Stretches of up to a few
-hundred symbols are compared this way; a pair of such hashes always identifies a stretch.
+hash of any stretch comes from two prefix sums and one power. Such hashes collide on texts
+built to that end (Thue-Morse words) once these are about 512 symbols long, so stretches over
+LONG symbols are hashed by XXH64 of their bytes instead (stretch_hash).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -19,7 +21,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _rng = np.random.default_rng(20240229)
 SYMBOL = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-BASE = int(_rng.integers(0, 2**62)) * 4 + 3
+#: 3 modulo 8: B - 1 and B + 1 have the fewest factors of two, so no two words of up to LONG symbols collide by design.
+BASE = int(_rng.integers(0, 2**61)) * 8 + 3
+LONG = 256
 INVERSE = pow(BASE, -1, 2**64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -51,6 +55,17 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (p[end] - p[start]) * powers(len(p))[1][start]
 
 
+def stretch_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """Hash of each data[start:end], however long; values: the symbols' random values (bytes: SYMBOL)."""
+    size = end - start
+    h = span_hash(prefix(SYMBOL[data] if values is None else values), start, end)
+    h += size.astype(np.uint64)
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        h[long] = [xxhash.xxh64_intdigest(data[a:z].tobytes(), 99) for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return mix(h)
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1, from 0) of a string column without nulls."""
     if len(col) == 0:
@@ -91,7 +106,7 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) -> tuple[
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(span_hash(prefix(SYMBOL[data]), start, end) + (end - start).astype(np.uint64))
+    return stretch_hash(data, start, end)
 
 
 def owners(first: np.ndarray) -> np.ndarray:

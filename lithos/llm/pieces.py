@@ -79,7 +79,7 @@ class ChunkTable:
             start = np.flatnonzero(start)
             end = np.append(start[1:], len(data))
             raw = data.tobytes()
-            h = bt.mix(bt.span_hash(bt.prefix(bt.SYMBOL[data]), start, end) + (end - start).astype(np.uint64)) | np.uint64(1)
+            h = bt.stretch_hash(data, start, end) | np.uint64(1)
             at = self.known.find(h)
             while len(new := np.unique(h[at < 0])):
                 if not self.known.room(len(new)):  # forget, or grow if one stretch fills the table

@@ -46,7 +46,7 @@ def counts_of(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     chars = bt.per_text((data & 0xC0) != 0x80, offs) - bt.per_text(bt.SPACE[data], offs)
     # lines: \n-split, and only those with a word count
     ls, le, lf = bt.words(data, offs, NEWLINE)
-    lh = bt.mix(bt.span_hash(bt.prefix(bt.SYMBOL[data]), ls, le) + (le - ls).astype(np.uint64)) ^ salt[bt.owners(lf)]
+    lh = bt.stretch_hash(data, ls, le) ^ salt[bt.owners(lf)]
     has = np.searchsorted(start, le) > np.searchsorted(start, ls)
     again = has.copy()
     again[has] = ~first_of_each(lh[has])

@@ -128,8 +128,7 @@ class Counter:
         self.known.add(self.hashes(cp, end - [len(x) for x in self.proved], end))
 
     def hashes(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        p = bt.prefix(bt.mix(cp.astype(np.uint64) + np.uint64(7)))
-        return bt.mix(bt.span_hash(p, start, end) + (end - start).astype(np.uint64)) | np.uint64(1)
+        return bt.stretch_hash(cp, start, end, bt.mix(cp.astype(np.uint64) + np.uint64(7))) | np.uint64(1)
 
     def merged(self, piece: str) -> int:
         return len(self.model.tokenize(visible(piece)))
