@@ -36,7 +36,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_levels.drop_repeated_bytes(documents(spark, sf_dir), window=200, batches=2)
+    return suffix_levels.drop_repeated_bytes(documents(spark, sf_dir), window=200, batches=4)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

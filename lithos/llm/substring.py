@@ -1,9 +1,10 @@
 """Substring dedup by words: drop words in windows that an earlier document already has.
 
-Level-wise doubling: windows that repeat at a short length are the only ones extended, up to
-the length asked for, until no candidate is left (see repeats). With 4-word seeds and
-13-word windows the lengths are 4, then whole runs, then single windows of 13; the seed
-level is thinned to elected seeds, which loses no 13-word window.
+Level-wise doubling: windows that repeat at one length alone are extended to twice that
+length, until no candidate survives or the length asked for is reached (see repeats). With
+4-word seeds and 13-word windows the lengths are 4, 8, 13. At 4 and 8 only the windows that
+13-word windows elect are counted, which loses none; at 13 equal runs of windows are counted
+as one, the others one by one.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytetext as bt
-from .common import cut, keyed, prepare, public_id, record, scan, strings
-from .repeats import anchors, covered, repeated, survivors, with_cover
+from .common import keyed, prepare, public_id, record, scan, strings
+from .repeats import WINDOW_LIMIT, covered, extended, repeated, with_cover
 
 
 def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -27,13 +28,14 @@ def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str =
     words over it also starts in a row with a smaller id, judged on the input. Null texts
     have no words and hash as the empty string; a null id counts as the smallest; rows with
     one id never remove each other's words, whether they repeat or differ. Other columns
-    are ignored. A text shorter than a window is kept whole.
+    are ignored. A text shorter than a window is kept whole. window: at most WINDOW_LIMIT.
     """
     prepare(docs.sparkSession)
-    k = min(seed, window)
+    if not 1 <= window <= WINDOW_LIMIT:
+        raise ValueError(f"window {window}")
     rows = keyed(docs, id_col, text_col)
-    found = cut(survivors(anchors(rows, "word", window, k)), "seeds")
-    cover = repeated(rows, found, "word", window, k, earlier_only=True)
+    found, k = extended(rows, "word", window, seed)
+    cover = None if found is None else repeated(rows, found, "word", window, k, earlier_only=True)
 
     def fn(b: pa.RecordBatch):
         text, n_words, n_removed, sha, kept = strings(b.column(1)), [], [], [], []

@@ -87,11 +87,21 @@ def test_suffix_levels(spark, small, window, seed, batches):
 
 
 def test_suffix_levels_merge_geometrically(spark):
-    rows = spark.createDataFrame([(i, 0, "abc" * 30) for i in range(7)], "_id long, _th long, text string")
-    index = suffix_levels.SuffixLevels(20, 8)
-    for i in range(7):
-        index.append(rows.where(f"_id = {i}"))
-    assert [x is not None for x in index.levels] == [True, True, True]
+    texts = ["".join(random.Random(i).choices("abcdefgh", k=200)) for i in range(7)]
+    texts[5] = texts[2][50:150] + texts[5]
+    index, taken = suffix_levels.SuffixLevels(spark, 20, 8, buckets=4), []
+    for t in texts:
+        index.append(spark.createDataFrame([(t,)], "text string"))
+        taken.append([x is not None for x in index.levels])
+    assert taken == [[True], [False, True], [True, True], [False, False, True], [True, False, True], [False, True, True], [True, True, True]]
+    # each level: alphabetical in its buckets, every beginning once, with its count in the level's batches
+    for name in index.arrays():
+        parts = [[bytes(r.head) for r in p] for p in spark.table(name).rdd.glom().collect()]
+        assert all(p == sorted(set(p)) for p in parts)
+    heads = collections.Counter(bytes(r.head) for t in texts for r in suffix_levels.beginnings(spark.createDataFrame([(t,)], "text string"), 20, 8).collect())
+    assert sum(r.c for n in index.arrays() for r in spark.table(n).collect()) == sum(heads.values())
+    assert index.matched().count() == sum(c > 1 for c in heads.values()) > 0
+    index.close()
 
 
 @pytest.mark.parametrize("tile", [4096, 3])
