@@ -1,10 +1,11 @@
 """SimHash fingerprints and near-duplicate groups.
 
 Fingerprints within the radius are found by exact tiled comparison: numpy exclusive-or and
-bit counts between two tiles of fingerprints, skipping tile pairs whose population counts
-differ by more than the radius. Tiles come from the pigeonhole principle: of k bit blocks,
-two fingerprints at distance r or less agree on at least k - r whole blocks, so only tiles
-that share k - r blocks are compared; k grows with the number of distinct fingerprints.
+bit counts between tiles sorted by population count, skipping what differs in population
+count by more than the radius, in tiles of any size. Comparing all tiles is quadratic, so
+tiles are cells of the pigeonhole principle: of k bit blocks, two fingerprints at distance r
+or less agree on at least k - r whole blocks, and only fingerprints that share k - r blocks
+are compared; k grows with the number of distinct fingerprints. cells=False compares all.
 Equal fingerprints collapse before any comparison, however many documents share one.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import cut, keyed, prepare, public_id, record, scan, strings
+from .common import cut, discard, keyed, prepare, public_id, record, scan, strings
 
 TILE = 4096
 SALTS = 32
@@ -76,14 +77,49 @@ def block_masks(count: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(block, k - radius)]
 
 
-def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """fps: fp (distinct). All pairs a < b (unsigned order of no meaning) at distance 1 to radius, once each."""
-    masks = block_masks(max(1, fps.count()), radius)
+def neighbours(group: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of each group within the radius, once each: a tile is sorted by population count, and a
+    row meets only those after it whose count exceeds its own by the radius or less."""
+    pop = np.bitwise_count(fp).astype(np.int64)
+    by = np.lexsort((pop, group))
+    v, f = group[by] * 128 + pop[by], fp[by]
+    until = np.searchsorted(v, v + radius, "right")  # counts end at 64, so a sum never reaches the next group
+    many = until - np.arange(len(v)) - 1
+    total = np.append(0, np.cumsum(many))
+    lo = 0
+    while lo < len(v):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
+        i = np.repeat(np.arange(lo, hi), many[lo:hi])
+        j = np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], many[lo:hi]) + i + 1
+        near = np.bitwise_count(f[i] ^ f[j]) <= radius
+        if near.any():
+            yield by[i[near]], by[j[near]]
+        lo = hi
+
+
+def across(left: np.ndarray, right: np.ndarray, radius: int, side: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of two tiles within the radius, in blocks; blocks whose population counts lie further apart are skipped."""
+    left_by, right_by = np.argsort(np.bitwise_count(left), kind="stable"), np.argsort(np.bitwise_count(right), kind="stable")
+    x, y = left[left_by], right[right_by]
+    px, py = np.bitwise_count(x).astype(int), np.bitwise_count(y).astype(int)
+    for i in range(0, len(x), side):
+        for j in range(0, len(y), side):
+            if py[j] - px[min(i + side, len(x)) - 1] > radius or px[i] - py[min(j + side, len(y)) - 1] > radius:
+                continue
+            u, v = np.nonzero(np.bitwise_count(x[i : i + side, None] ^ y[None, j : j + side]) <= radius)
+            if len(u):
+                yield left_by[i + u], right_by[j + v]
+
+
+def links(fps: DataFrame, radius: int = 4, tile: int = TILE, cells: bool = True) -> DataFrame:
+    """fps: fp (distinct). All pairs a < b (unsigned order of no meaning) at distance 1 to radius, once each.
+    cells: whether only tiles that agree on some bit blocks are compared, or (quadratic) all tiles."""
+    masks = block_masks(max(1, fps.count()), radius) if cells else [0]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     kind = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]))
     banded = fps.select("fp", kind.alias("x")).select("fp", "x.m", "x.key", F.bit_count("fp").alias("pop"))
-    # A cell of at most `tile` fingerprints is one tile. Larger ones are split by population count and hash,
-    # and a tile meets only those whose population count is within the radius.
+    # A cell is cut into tiles of about `tile` fingerprints by population count and hash, so that tasks stay
+    # small; a tile is sent only to tiles whose population count is within the radius.
     sizes = banded.groupBy("m", "key").agg(F.count("*").alias("c")).where("c > 1")
     parts = F.when(F.col("c") > tile, F.ceil(F.col("c") / tile).cast("int")).otherwise(0)
     rows = banded.join(sizes.select("m", "key", parts.alias("p")), ["m", "key"])
@@ -97,48 +133,44 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     rows = rows.repartition("m", "key", "a", "b").sortWithinPartitions("m", "key", "a", "b", "right").select("m", "key", "a", "b", "right", "fp")
     lower = np.array(masks, np.uint64)
 
-    def pairs(m: int, same: bool, left: np.ndarray, right: np.ndarray):
-        for i in range(0, len(left), 1024):
-            for j in range(0 if not same else i, len(right), 1024):
-                x, y = left[i : i + 1024], right[j : j + 1024]
-                d = x[:, None] ^ y[None, :]
-                near = np.bitwise_count(d) <= radius
-                if same and i == j:
-                    near = np.triu(near, 1)
-                u, v = np.nonzero(near)
-                if len(u):
-                    diff = d[u, v]
-                    once = ((diff[:, None] & lower[None, :m]) != 0).all(axis=1) if m else np.ones(len(u), bool)
-                    if once.any():
-                        yield x[u[once]], y[v[once]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def close():
-            if key is None:
-                return
-            right, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            fp = fp.view(np.uint64)
-            same = key[2] == key[3]
-            for x, y in pairs(key[0], same, fp if same else fp[~right], fp if same else fp[right]):
-                yield record(a=np.minimum(x, y).view(np.int64), b=np.maximum(x, y).view(np.int64))
-
-        for b in batches:
-            if not b.num_rows:
+        held = None
+
+        def compared(c: list[np.ndarray], new: np.ndarray):
+            """c: m, key, a, b, right, fp of whole tile pairs, which begin where new is set."""
+            group, (m, a, b), right, fp = np.cumsum(new) - 1, (c[0], c[2], c[3]), c[4], c[5].view(np.uint64)
+            own = np.flatnonzero(a == b)
+            found = [(own[i], own[j]) for i, j in neighbours(group[own], fp[own], radius)]
+            at = np.append(np.flatnonzero(new), len(new))
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if a[s] != b[s]:
+                    cut_at = s + int(np.searchsorted(right[s:e], True))
+                    found += [(s + i, cut_at + j) for i, j in across(fp[s:cut_at], fp[cut_at:e], radius)]
+            for i, j in found:
+                # a pair that agrees under several masks counts under the first
+                first = ((fp[i] ^ fp[j])[:, None] & lower[None, :] == 0).argmax(axis=1)
+                once = first == m[i]
+                if once.any():
+                    x, y = fp[i[once]], fp[j[once]]
+                    yield record(a=np.minimum(x, y).view(np.int64), b=np.maximum(x, y).view(np.int64))
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            new = np.zeros(b.num_rows, bool)
+            c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            if held is not None:
+                c = [np.concatenate(x) for x in zip(held, c, strict=True)]
+            new = np.ones(len(c[0]), bool)
+            new[1:] = False
             for x in c[:4]:
                 new[1:] |= x[1:] != x[:-1]
-            at = [0, *np.flatnonzero(new).tolist(), b.num_rows]
-            for s, e in zip(at[:-1], at[1:], strict=True):
-                k = tuple(int(x[s]) for x in c[:4])
-                if k != key:
-                    yield from close()
-                    key, held = k, []
-                held.append((c[4][s:e], c[5][s:e].astype(np.int64)))
-        yield from close()
+            last = int(np.flatnonzero(new)[-1])
+            yield from compared([x[:last] for x in c], new[:last])
+            held = [x[last:] for x in c]
+        if held is not None:
+            new = np.zeros(len(held[0]), bool)
+            new[0] = True
+            yield from compared(held, new)
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -160,7 +192,8 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        e = cut(small, "edges")
+        before, e = e, cut(small, "edges")
+        discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == signature:
             break
@@ -169,7 +202,7 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, cells: bool = True) -> DataFrame:
     """One row per input row: id_col, fingerprint (16 hex digits), n_near, component_id.
 
     A-Z are lower-cased; shingles are runs of `shingle` words without ASCII white space;
@@ -183,7 +216,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     rows = keyed(docs, id_col, text_col)
     prints = cut(fingerprints(rows, shingle, seed).select("_id", "fp"), "prints")
     distinct = cut(prints.groupBy("fp").agg(F.count("*").alias("c"), F.min("_id").alias("low")), "distinct")
-    pairs = cut(links(distinct.select("fp"), radius, tile), "links")
+    pairs = cut(links(distinct.select("fp"), radius, tile, cells), "links")
     # per fingerprint: how many rows are linked, and the component
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     reach = both.join(distinct.select(F.col("fp").alias("b"), "c"), "b").groupBy("a").agg(F.sum("c").alias("others")).withColumnRenamed("a", "fp")
