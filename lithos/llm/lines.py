@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -172,14 +173,27 @@ class LineIndex:
 
     def common_lines(self, rows: DataFrame) -> DataFrame:
         """rows: _id, _th, text → _id, _th, drop (sorted numbers of the lines to drop), for rows with any."""
-        size = self.filters.agg(F.coalesce(F.sum(F.length("blob")), F.lit(0))).first()[0]
-        shared = None
-        if size <= FILTER_BYTES:  # else every line goes to the exact table
-            shared = self.spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in self.filters.toLocalIterator()})
+        sizes = {r.shard: r.n for r in self.filters.select("shard", F.length("blob").alias("n")).collect()}  # a row a shard
+        groups: list[list[int]] = [[]]
+        room = FILTER_BYTES
+        for shard, n in sorted(sizes.items()):  # texts are read once for each FILTER_BYTES of filters
+            if groups[-1] and n > room:
+                groups.append([])
+                room = FILTER_BYTES
+            groups[-1].append(shard)
+            room -= n
+        lines = [self.looked_up(rows, group) for group in groups]
+        every = reduce(DataFrame.unionByName, lines)
+        return every.join(self.frequent(), ["k1", "k2"]).groupBy("_id", "_th").agg(F.sort_array(F.collect_set("i")).alias("drop"))
+
+    def looked_up(self, rows: DataFrame, group: list[int]) -> DataFrame:
+        """Lines (k1, k2, _id, _th, i) that pass the filters of these shards, which are broadcast."""
+        some = self.filters.where(F.col("shard").isin(group)) if group else self.filters.where("false")
+        shared = self.spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in some.toLocalIterator()})
         shards, least = self.shards, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = shared and {k: CuckooFilter(np.frombuffer(v, np.uint16).reshape(-1, 4)) for k, v in shared.value.items()}
+            filters = {k: CuckooFilter(np.frombuffer(v, np.uint16).reshape(-1, 4)) for k, v in shared.value.items()}
             for b in batches:
                 keys, row, number = [], [], []
                 for r, t in enumerate(strings(b.column(2)).cast(pa.binary()).to_pylist()):
@@ -189,18 +203,15 @@ class LineIndex:
                 if not keys:
                     continue
                 one, two = hashes(keys)
-                ok = np.ones(len(keys), bool)
-                if filters is not None:
-                    ok[:] = False
-                    shard, h = one.view(np.int64) % shards, bt.mix(one ^ two)
-                    for s, f in filters.items():
-                        at = np.flatnonzero(shard == s)
-                        ok[at] = f.contains(h[at])
+                ok = np.zeros(len(keys), bool)
+                shard, h = one.view(np.int64) % shards, bt.mix(one ^ two)
+                for s, f in filters.items():
+                    at = np.flatnonzero(shard == s)
+                    ok[at] = f.contains(h[at])
                 row = np.array(row)[ok]
                 yield record(k1=one[ok].view(np.int64), k2=two[ok].view(np.int64), _id=b.column(0).to_numpy()[row], _th=b.column(1).to_numpy()[row], i=np.array(number, np.int32)[ok])
 
-        lines = rows.mapInArrow(run, "k1 long, k2 long, _id long, _th long, i int")
-        return lines.join(self.frequent(), ["k1", "k2"]).groupBy("_id", "_th").agg(F.sort_array(F.collect_set("i")).alias("drop"))
+        return rows.mapInArrow(run, "k1 long, k2 long, _id long, _th long, i int")
 
 
 def drop_common_lines(docs: DataFrame, threshold: int = 10, least: int = 1, index: LineIndex | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -239,13 +250,14 @@ def drop_common_lines(docs: DataFrame, threshold: int = 10, least: int = 1, inde
 
 
 def rewrite(docs: DataFrame, index: LineIndex) -> DataFrame:
-    """docs with all their columns, text without the index's common lines. Null texts stay null."""
+    """docs with all their columns, whatever their names, text without the index's common lines.
+    Null texts stay null; empty texts and texts without common lines stay as they are; rows that
+    repeat are each rewritten; an empty table stays empty."""
     id_col, text_col = index.names
     rows = keyed(docs, id_col, text_col)
-    drop = index.common_lines(rows).withColumnRenamed("_id", "_did").withColumnRenamed("_th", "_dth")
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tagged = docs.withColumn("_did", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_dth", F.xxhash64(t))
-    parts = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    out = tagged.join(drop, ["_did", "_dth"], "left").withColumn(text_col, F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(left))
-    return out.select(*docs.columns)
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_th"))
+    out = tagged.join(index.common_lines(rows), ["_id", "_th"], "left")
+    text = F.col("row")[text_col]
+    left = F.array_join(F.filter(F.split(text.cast("string"), "\n", -1), lambda x, i: ~F.array_contains("drop", i)), "\n")
+    text = F.when(F.col("drop").isNull(), text).otherwise(left)
+    return out.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
