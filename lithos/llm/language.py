@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .common import prepare, record, scan, strings
 
 BITS = 17
-CHAIN = 128
+BLOCK = 128
 APART = np.ones(256, bool)
 APART[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = False
 U = np.uint64
@@ -63,22 +63,49 @@ def feature_sums(low: np.ndarray, start: np.ndarray, end: np.ndarray, weights: n
     return out
 
 
-def forward_backward(potential: np.ndarray, length: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Marginals (chains x steps x labels) of chains padded at the end; move[i, j] and start are log weights."""
+def scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def forward_backward(potential: np.ndarray, length: np.ndarray, move: np.ndarray, start: np.ndarray, head: np.ndarray | None = None, pairs: bool = False):
+    """Marginals (blocks x steps x labels) of blocks of words padded at the end; move[i, j] and start are
+    log weights. A block without `head` goes on where the one before it ends, so chains of any length
+    are exact: the product of each block's steps carries the messages from block to block. With pairs
+    also the expected transitions within blocks (labels x labels)."""
     s, t, n = potential.shape
     e = np.exp(potential - potential.max(axis=2, keepdims=True))
     m = np.exp(move - move.max())
-    fwd, bwd = np.empty((t, s, n)), np.ones((t, s, n))
+    into, last = np.tile(np.exp(start - start.max()), (s, 1)), np.ones((s, n))
+    if head is not None and not head.all():
+        number = np.arange(s) - np.maximum.accumulate(np.where(head, np.arange(s), 0))
+        part = np.flatnonzero((number > 0) | np.append(number[1:] > 0, False))
+        product = np.eye(n)[None] * e[part, 0, None, :]
+        for i in range(1, t):
+            step = (product.reshape(-1, n) @ m).reshape(-1, n, n) * e[part, i, None, :]
+            step /= step.max(axis=(1, 2), keepdims=True)
+            product = np.where((i < length[part])[:, None, None], step, product)
+        whole = np.zeros((s, n, n))
+        whole[part] = product
+        for k in range(1, int(number.max()) + 1):
+            at = np.flatnonzero(number == k)
+            into[at] = scaled(scaled(np.einsum("si,sij->sj", into[at - 1], whole[at - 1])) @ m)
+        for k in range(int(number.max()), 0, -1):
+            at = np.flatnonzero(number == k)
+            last[at - 1] = scaled(np.einsum("sij,sj->si", whole[at], last[at]) @ m.T)
+    fwd, bwd = np.empty((t, s, n)), np.empty((t, s, n))
     for i in range(t):
-        a = e[:, i] * (np.exp(start - start.max()) if i == 0 else fwd[i - 1] @ m)
-        fwd[i] = a / a.sum(axis=1, keepdims=True)
+        fwd[i] = scaled(e[:, i] * (into if i == 0 else fwd[i - 1] @ m))
+    bwd[t - 1] = last
     for i in range(t - 2, -1, -1):
-        b = (e[:, i + 1] * bwd[i + 1]) @ m.T
-        b /= b.sum(axis=1, keepdims=True)
-        bwd[i] = np.where((i + 1 < length)[:, None], b, 1.0)
-    p = fwd * bwd
-    p /= p.sum(axis=2, keepdims=True)
-    return p.transpose(1, 0, 2)
+        bwd[i] = np.where((i + 1 < length)[:, None], scaled((e[:, i + 1] * bwd[i + 1]) @ m.T), last)
+    p = scaled(fwd * bwd).transpose(1, 0, 2)
+    if not pairs:
+        return p
+    both = np.zeros((n, n))
+    for i in range(t - 1):
+        x = fwd[i][:, :, None] * m * (e[:, i + 1] * bwd[i + 1])[:, None, :]
+        both += (x / x.sum(axis=(1, 2), keepdims=True))[i + 1 < length].sum(axis=0)
+    return p, both
 
 
 def fit(snippets: list[tuple[str, bytes]], epochs: int = 12, seed: int = 7) -> dict:
@@ -114,20 +141,18 @@ def fit(snippets: list[tuple[str, bytes]], epochs: int = 12, seed: int = 7) -> d
             pot = np.zeros((len(part), int(length.max()), n))
             score = np.stack([np.bincount(own, weights[f, k], len(w)) for k in range(n)], axis=1)
             pot[row, col] = score
-            p = forward_backward(pot, length, move, begin)[row, col]
+            p, both = forward_backward(pot, length, move, begin, pairs=True)
+            p = p[row, col]
             g = -p
             g[np.arange(len(w)), gold[w]] += 1
             g /= len(part)
             grad = np.stack([np.bincount(f, g[own, k], 1 << BITS) for k in range(n)], axis=1) - 1e-6 * weights
             step += (grad * grad).astype(np.float32)
             weights += (rate * grad / np.sqrt(step)).astype(np.float32)
-            # expected transitions from the marginals of neighbours (mean field), observed ones from the labels
             nxt = np.flatnonzero(col[1:] > 0)
-            pair = p[nxt][:, :, None] * np.exp(move - move.max()) * p[nxt + 1][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
             seen = np.zeros((n, n))
             np.add.at(seen, (gold[w[nxt]], gold[w[nxt + 1]]), 1)
-            gm = (seen - pair.sum(axis=0)) / len(part) - 1e-3 * move
+            gm = (seen - both) / len(part) - 1e-3 * move
             move2 += gm * gm
             move += rate * gm / np.sqrt(move2)
             gb = (np.bincount(gold[w[col == 0]], minlength=n) - p[col == 0].sum(axis=0)) / len(part)
@@ -137,14 +162,20 @@ def fit(snippets: list[tuple[str, bytes]], epochs: int = 12, seed: int = 7) -> d
 
 
 def snippets_of(docs: DataFrame, label: str, text_col: str, per_label: int, each: int = 4, length: int = 24) -> list[tuple[str, bytes]]:
-    """At most about per_label rows of each label, chosen by a hash of their text, and from each
-    up to `each` stretches of `length` words spread over the whole text."""
-    rows = docs.select(F.col(label).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null")
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """Of each label the per_label different texts with the smallest hashes, and from each up to `each`
+    stretches of `length` words spread over the whole text. Copies count once, so that no more
+    than per_label * each stretches a label are sent to the driver."""
+    rows = docs.select(F.col(label).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return []
-    rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < rate[F.col("label")] * 1_000_003)
+    # twice as many as needed by a threshold, then exactly the smallest of them
+    rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, (2 * per_label + 100) / max(1, n))))])
+    place = F.pmod("h", F.lit(1 << 40))
+    some = rows.where(place < rate[F.col("label")] * float(1 << 40))
+    order = Window.partitionBy("label").orderBy(place, "h")
+    least = some.select("label", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("label", "h")
+    chosen = some.join(F.broadcast(least), ["label", "h"]).select("label", "text")
 
     def fn(b: pa.RecordBatch):
         out = []
@@ -157,7 +188,7 @@ def snippets_of(docs: DataFrame, label: str, text_col: str, per_label: int, each
                 out.append((label, b" ".join(bytes(low[s:e][:64]) for s, e in zip(start[at:last], end[at:last], strict=True))))
         return record(label=pa.array([x for x, _ in out], pa.string()), words=pa.array([x for _, x in out], pa.binary())) if out else None
 
-    return sorted((r.label, bytes(r.words)) for r in scan(chosen, fn, "label string, words binary").collect())
+    return sorted((r.label, bytes(r.words)) for r in scan(chosen, fn, "label string, words binary").distinct().collect())
 
 
 class Tagger:
@@ -191,20 +222,18 @@ class Tagger:
         return self.scores[self.known.find(h)]
 
     def marginals(self, data: np.ndarray, offs: np.ndarray):
-        """Posterior of each label for each word, and each text's first word. Chains are
-        stretches of at most CHAIN words of one text."""
+        """Posterior of each label for each word, and each text's first word. A text is one chain,
+        computed in blocks of BLOCK words."""
         low, start, end, first = words_of(data, offs)
         if not len(start):
             return np.zeros((0, self.n)), first
         each = np.diff(first)
         i = np.arange(len(start)) - np.repeat(first[:-1], each)
-        fresh = i % CHAIN == 0
-        row = np.cumsum(fresh) - 1
-        col = i % CHAIN
+        row, col = np.cumsum(i % BLOCK == 0) - 1, i % BLOCK
         length = np.bincount(row)
         pot = np.zeros((len(length), int(length.max()), self.n))
         pot[row, col] = self.potentials(low, start, end)
-        return forward_backward(pot, length, self.model["move"], self.model["start"])[row, col], first
+        return forward_backward(pot, length, self.model["move"], self.model["start"], i[col == 0] == 0)[row, col], first
 
 
 _taggers: dict[str, Tagger] = {}
@@ -215,11 +244,12 @@ def identify(docs: DataFrame, label: str = "lang", per_label: int = 400, id_col:
     words of one language (array of first word, number of words, label).
 
     Learns from rows with a label whose crc32(id as text) mod 3 is not 1, of which a bounded
-    sample (about per_label rows a label, chosen by hash, stretches of at most 64-byte
-    words) goes to the driver, where the model is fitted. Predictions use the text alone. held_out: that remainder
+    sample (at most per_label different texts a label, chosen by hash, four stretches of 24
+    words of at most 64 bytes from each) goes to the driver, where the model is fitted. Predictions use the text alone. held_out: that remainder
     is 1 (null id: false, and not learnt from). lang_pred is `und` with score 0 where the
     text is null or has no letter, or nothing could be learnt; score is the mean posterior
-    of the predicted label over the text's words. Repeated rows are predicted alike.
+    of the predicted label over the text's words; of equal ones the first label in code point order
+    wins. Repeated rows are predicted alike, however long; an empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)
     rest = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3))
