@@ -8,7 +8,7 @@ one of higher priority, or inside a longer one of equal priority, is suppressed.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -70,10 +70,16 @@ def detections(text: str) -> list[tuple[int, int, int, str, float]]:
     named = "licen" in text
     tried = sorted({i for _, (_, at) in auto.iter(text) for i in at if named or not every[i][5]})
     found = [(m.start(), m.end(), every[i][1], every[i][0], every[i][4], i) for i in tried for m in every[i][3].finditer(text) if m.end() > m.start()]
-    kept: list[tuple[int, int, int, str, float, int]] = []
+    # kept detections inside no other one, by start: their ends rise too, so one look tells whether d is inside any
+    kept, starts, ends = [], [], []
     for d in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0], d[5])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
+        k = bisect_right(starts, d[0])
+        if k and ends[k - 1] >= d[1]:
+            continue
+        kept.append(d)
+        k = bisect_left(starts, d[0])
+        last = bisect_right(ends, d[1])
+        starts[k:last], ends[k:last] = [d[0]], [d[1]]
     return sorted((place(d[0]), place(d[1] - 1) + 1, *d[2:5]) for d in kept)
 
 
