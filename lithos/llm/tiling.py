@@ -2,13 +2,14 @@
 
 Seeds of `match` words shared by a document and a benchmark item are joined; for each pair
 with a seed, the longest common runs that overlap no tile yet are marked, longest first,
-with running Karp-Rabin hashes, until none of `match` words is left. The share of an item's
-words under tiles is its coverage: passages count however they are reordered.
+found by running Karp-Rabin hashes at a falling length, until none of `match` words is left.
+The share of an item's words under tiles is its coverage: passages count however they are
+reordered.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from uuid import uuid4
 
 import numpy as np
@@ -48,37 +49,53 @@ PUNCT[list(EDGE)] = True
 
 
 def tile(a: np.ndarray, b: np.ndarray, match: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of token sequences a and b: (start in a, start in b, length), longest
-    first; of equal lengths the first in a, then in b. Tokens are compared as 64-bit hashes."""
+    """Greedy string tiling of token sequences a and b (64-bit hashes): (start in a, start in b,
+    length), longest first; of equal lengths the first in a, then in b.
+
+    The match length falls: Karp-Rabin hashes of all unmarked stretches of one length, running
+    over both sequences, tell whether they share one, a binary search finds the longest such
+    length, and its matches are marked from left to right. A partner once marked is never
+    looked at again, so a round is linear in the two sequences, however repetitive they are."""
     tiles: list[tuple[int, int, int]] = []
+    top = min(len(a), len(b))
+    pa_, pb = bt.prefix(a), bt.prefix(b)
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    if min(len(a), len(b)) < match:
-        return tiles
-    seeds = defaultdict(list)
-    for j, h in enumerate(bt.grams(b, match).tolist()):
-        seeds[h].append(j)
-    ga = bt.grams(a, match).tolist()
-    pairs = [(i, j) for i, h in enumerate(ga) for j in seeds.get(h, ())]
-    while True:
-        best, found = match, []
-        for i, j in pairs:
-            if not (free_a[i] and free_b[j]):
+
+    def unmarked(p: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        taken = np.append(0, np.cumsum(~free))
+        at = np.flatnonzero(taken[size:] == taken[:-size])
+        return at, bt.span_hash(p, at, at + size)
+
+    def common(size: int):
+        (i, x), (j, y) = unmarked(pa_, free_a, size), unmarked(pb, free_b, size)
+        return i, x, j, y, np.isin(x, y)
+
+    while top >= match and common(match)[4].any():
+        low = match
+        while low < top:  # the longest length shared; a shared length implies all shorter ones
+            middle = (low + top + 1) // 2
+            if common(middle)[4].any():
+                low = middle
+            else:
+                top = middle - 1
+        i, x, j, y, hit = common(top)
+        partners = defaultdict(deque)
+        for q, h in zip(j.tolist(), y.tolist(), strict=True):
+            partners[h].append(q)
+        end = 0
+        for q, h in zip(i[hit].tolist(), x[hit].tolist(), strict=True):
+            if q < end:
                 continue
-            if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
-                continue  # the run began earlier
-            n, m = 0, min(len(a) - i, len(b) - j)
-            while n < m and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
-                n += 1
-            if n > best:
-                best, found = n, [(i, j)]
-            elif n == best:
-                found.append((i, j))
-        if not found:
-            return sorted(tiles, key=lambda t: (-t[2], t[0], t[1]))
-        for i, j in found:
-            if free_a[i : i + best].all() and free_b[j : j + best].all():
-                free_a[i : i + best] = free_b[j : j + best] = False
-                tiles.append((i, j, best))
+            ways = partners[h]
+            while ways and not (free_b[ways[0]] and free_b[ways[0] + top - 1]):
+                ways.popleft()
+            if ways and np.array_equal(a[q : q + top], b[ways[0] : ways[0] + top]):
+                r = ways.popleft()
+                free_a[q : q + top] = free_b[r : r + top] = False
+                tiles.append((q, r, top))
+                end = q + top
+        top -= 1
+    return tiles
 
 
 def shortest(n: int, match: int) -> int:
