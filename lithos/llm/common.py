@@ -41,10 +41,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our
+    own on one machine (tests), an error on several."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = getattr(sc, "_lithos_dir", None)
         if base is None:
             base = sc._lithos_dir = tempfile.mkdtemp(prefix="lithos-shared")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lithos.llm import language, licenses, lines, pieces, quality, simhash, substring, suffix_levels, tiling, token_count
 from lithos.llm.queries import tokenizer
@@ -313,3 +314,155 @@ def test_pipeline_stages_drop_rows_not_ids(spark, tmp_path):
     before, after = kept(real), kept(corpus_pipeline.language_id(spark, real.unionByName(more), SF))
     assert (one.doc_id, one.text) in after and (None, one.text) in after and not {(one.doc_id, "12 34"), (None, "56 78"), (None, None)} & set(after)
     assert len(after) <= len(before) + 1
+
+
+def test_near_duplicates_all_tiles_alike(spark):
+    """The quadratic comparison of all tiles and the one by cells find the same links, in small and large tiles."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 40, dtype=np.int64)
+    fps = {int(b) for b in base}
+    for b in base.tolist():
+        for _ in range(20):
+            x = b
+            for bit in rng.choice(62, rng.integers(1, 6), replace=False).tolist():
+                x ^= 1 << bit
+            fps.add(x)
+    fps = sorted(fps)
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 4}
+    rows = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(3)
+    for args in ({}, {"tile": 8}, {"cells": False}, {"cells": False, "tile": 16}):
+        got = [(r.a, r.b) for r in simhash.links(rows, 4, **args).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, args
+
+
+def test_line_index_filters_in_groups(spark, small, monkeypatch):
+    """More filters than one broadcast may hold: the same rows."""
+    monkeypatch.setattr(lines, "FILTER_BYTES", 64)
+    got = lines.drop_common_lines(frame(spark, small), threshold=2).collect()
+    assert order(tuple(r) for r in got) == brute_lines(small, 2)
+
+
+def test_line_rewrite_keeps_columns(spark, small):
+    rows = spark.createDataFrame([(*r, 7, "k", [1]) for r in small], "doc_id long, text string, _did int, `a.b` string, drop array<int>")
+    index = lines.LineIndex(spark, threshold=3)
+    index.insert(rows)
+    out = lines.rewrite(rows, index)
+    assert out.columns == rows.columns
+    got = order((r.doc_id, None if r.text is None else sha(r.text.encode()), r._did, r["a.b"], r["drop"]) for r in out.collect())
+    keys = [[lower(x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")] for _, t in small]
+    n = collections.Counter(k for ks in keys for k in set(ks) if k)
+    want = [(d, None if t is None else sha("\n".join(x for x, k in zip(t.split("\n"), ks) if n[k] < 3).encode()), 7, "k", [1]) for (d, t), ks in zip(small, keys)]
+    assert got == order(want)
+
+
+def brute_tiles(a, b, match):
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best, found = match, []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, [(i, j)]
+                elif n == best:
+                    found.append((i, j))
+        if not found:
+            return out
+        for i, j in found:
+            if all(free_a[i : i + best]) and all(free_b[j : j + best]):
+                free_a[i : i + best] = free_b[j : j + best] = [False] * best
+                out.append((i, j, best))
+
+
+def test_tiles_against_brute_force():
+    rnd = random.Random(8)
+    for case in range(60):
+        k = rnd.choice([2, 3, 8])
+        a, b = [[rnd.randrange(k) for _ in range(rnd.randint(0, 40))] for _ in range(2)]
+        hashed = [np.array([hash((7, x)) & (2**63 - 1) for x in s], np.uint64) for s in (a, b)]
+        assert tiling.tile(*hashed, 3) == brute_tiles(a, b, 3), case
+
+
+def test_tiles_of_one_word_repeated():
+    same = np.full(20000, 5, np.uint64)
+    assert tiling.tile(same, same[:3000], 8) == [(0, 0, 3000)]
+
+
+def test_license_suppression_against_pairs():
+    rnd = random.Random(6)
+    words = ["mit license", "apache license 2.0", "gnu general public license version 2", "cc by sa 4.0", "all rights reserved", "licensed under the mit license", "spdx-license-identifier: mit", "bsd license", "x"]
+    for _ in range(60):
+        text = rnd.choice([" ", ", ", "\n"]).join(rnd.choice(words) for _ in range(rnd.randint(1, 12)))
+        every, auto = licenses.compiled()
+        flat, here, there = licenses.flattened(text)
+        tried = {i for _, (_, at) in auto.iter(flat) for i in at if "licen" in flat or not every[i][5]}
+        found = sorted({(m.start(), m.end(), every[i][1], every[i][0], every[i][4], i) for i in tried for m in every[i][3].finditer(flat) if m.end() > m.start()}, key=lambda d: (d[2], d[0] - d[1], d[0], d[5]))
+        kept = []
+        for d in found:
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        assert sorted((d[2], d[3], d[4]) for d in kept) == sorted(d[2:] for d in licenses.detections(text))
+
+
+def test_license_base_columns_against_brute_force(spark):
+    rnd = random.Random(9)
+    voc = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x1", "é"]
+    rows = [(i, "".join(rnd.choice(voc).upper() + rnd.choice([" ", "-", "\n", ", ", "...", "_"]) for _ in range(rnd.randint(0, 40)))) for i in range(150)] + ODD
+    got = {}
+    for r in licenses.scan_licenses(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels))
+    want = {}
+    for d, t in rows:
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t or ""))
+        at = [(i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        places = [i for i, _ in at]
+        want.setdefault(d, []).append((len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))))
+    assert {k: order(v) for k, v in got.items()} == {k: order(v) for k, v in want.items()}
+
+
+def test_forward_backward_over_blocks():
+    """A chain cut into blocks has the marginals of the whole chain; expected transitions are exact."""
+    rng = np.random.default_rng(1)
+    n, total, block = 3, 11, 4
+    pot, move, start = 3 * rng.standard_normal((1, total, n)), rng.standard_normal((n, n)), rng.standard_normal(n)
+    want, both = language.forward_backward(pot, np.array([total]), move, start, pairs=True)
+    cut = np.zeros((4, block, n))
+    for i in range(total):
+        cut[i // block, i % block] = pot[0, i]
+    cut[3, :2] = pot[0, :2]
+    got = language.forward_backward(cut, np.array([4, 4, 3, 2]), move, start, np.array([True, False, False, True]))
+    assert np.allclose(np.concatenate([got[0], got[1], got[2][:3]]), want[0])
+    assert np.allclose(got[3][:2], language.forward_backward(pot[:, :2], np.array([2]), move, start)[0])
+    short = pot[:, :4]
+    _, both = language.forward_backward(short, np.array([4]), move, start, pairs=True)
+    brute, z = np.zeros((n, n)), 0.0
+    for path in np.ndindex(*[n] * 4):
+        w = np.exp(start[path[0]] + sum(short[0, t, y] for t, y in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:])))
+        z += w
+        for a, b in zip(path, path[1:]):
+            brute[a, b] += w
+    assert np.allclose(both, brute / z)
+
+
+def test_language_sample_is_bounded(spark):
+    """Copies count once, and no label is lost because its texts are copies."""
+    rows = [(i, "the same words again and again", "en") for i in range(3000)] + [(i, f"mot {''.join(chr(97 + int(c)) for c in str(i))} de la liste", "fr") for i in range(3000, 3500)]
+    got = language.snippets_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", "text", 50)
+    assert {x for x, _ in got} == {"en", "fr"} and sum(x == "en" for x, _ in got) == 1 and sum(x == "fr" for x, _ in got) == 50
+
+
+def test_language_of_code_switched_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and length(text) > 600")
+    held = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"
+    by = {r.lang: r.text for r in docs.where(held).orderBy("doc_id").collect()}
+    (a, x), (b, y) = sorted(by.items())[:2]
+    mixed = " ".join(x.split()[:60] + y.split()[:60])
+    more = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1, mixed, None), (-2, mixed * 300, None), (-1, mixed, None)], "doc_id long, text string, lang string"))
+    rows = language.identify(more.withColumns({"id": F.lit(1), "held_out": F.lit("x"), "label": F.lit(2)}), per_label=60, segments=True).where("doc_id < 0").collect()
+    for r in rows:
+        assert {s.lang for s in r.segments} == {a, b} and r.lang_pred in (a, b)
+        if r.doc_id == -1:
+            right = sum(s.n for s in r.segments if (s.lang == a) == (s.first < 58))
+            assert right >= 0.85 * sum(s.n for s in r.segments)
