@@ -73,7 +73,8 @@ def forward_backward(potential: np.ndarray, length: np.ndarray, move: np.ndarray
     are exact: the product of each block's steps carries the messages from block to block. With pairs
     also the expected transitions within blocks (labels x labels)."""
     s, t, n = potential.shape
-    e = np.exp(potential - potential.max(axis=2, keepdims=True))
+    e = potential - potential.max(axis=2, keepdims=True)
+    np.exp(e, out=e)
     m = np.exp(move - move.max())
     into, last = np.tile(np.exp(start - start.max()), (s, 1)), np.ones((s, n))
     if head is not None and not head.all():
@@ -92,20 +93,22 @@ def forward_backward(potential: np.ndarray, length: np.ndarray, move: np.ndarray
         for k in range(int(number.max()), 0, -1):
             at = np.flatnonzero(number == k)
             last[at - 1] = scaled(np.einsum("sij,sj->si", whole[at], last[at]) @ m.T)
-    fwd, bwd = np.empty((t, s, n)), np.empty((t, s, n))
+    p = np.empty((t, s, n))  # forward messages first, each step then multiplied by its backward message
     for i in range(t):
-        fwd[i] = scaled(e[:, i] * (into if i == 0 else fwd[i - 1] @ m))
-    bwd[t - 1] = last
-    for i in range(t - 2, -1, -1):
-        bwd[i] = np.where((i + 1 < length)[:, None], scaled((e[:, i + 1] * bwd[i + 1]) @ m.T), last)
-    p = scaled(fwd * bwd).transpose(1, 0, 2)
-    if not pairs:
-        return p
-    both = np.zeros((n, n))
-    for i in range(t - 1):
-        x = fwd[i][:, :, None] * m * (e[:, i + 1] * bwd[i + 1])[:, None, :]
-        both += (x / x.sum(axis=(1, 2), keepdims=True))[i + 1 < length].sum(axis=0)
-    return p, both
+        p[i] = scaled(e[:, i] * (into if i == 0 else p[i - 1] @ m))
+    back, both = last, np.zeros((n, n))
+    for i in range(t - 1, -1, -1):
+        if i + 1 < t:
+            ahead = e[:, i + 1] * back
+            if pairs:
+                x = p[i][:, :, None] * m * ahead[:, None, :]
+                both += (x / x.sum(axis=(1, 2), keepdims=True))[i + 1 < length].sum(axis=0)
+            back = np.where((i + 1 < length)[:, None], scaled(ahead @ m.T), last)
+            p[i + 1] = done
+        done = scaled(p[i] * back)
+    p[0] = done
+    p = p.transpose(1, 0, 2)
+    return (p, both) if pairs else p
 
 
 def fit(snippets: list[tuple[str, bytes]], epochs: int = 12, seed: int = 7) -> dict:

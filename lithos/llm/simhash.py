@@ -77,7 +77,7 @@ def block_masks(count: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(block, k - radius)]
 
 
-def neighbours(group: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def neighbours(group: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i, j) of each group within the radius, once each: a tile is sorted by population count, and a
     row meets only those after it whose count exceeds its own by the radius or less."""
     pop = np.bitwise_count(fp).astype(np.int64)
