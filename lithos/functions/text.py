@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"[ \t\n\x0B\f\r]+"
+EDGES = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 
 
 def col(c: Column | str) -> Column:
@@ -20,6 +21,23 @@ def compact(c) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), BLANKS, " "))
 
 
+def strip(c) -> Column:
+    """Without ASCII white space at both ends."""
+    return F.regexp_replace(col(c), EDGES, "")
+
+
+def let(value, body) -> Column:
+    """body(value) with the value computed once: what a lambda takes from outside is computed anew for each element."""
+    return F.element_at(F.transform(F.array(col(value)), body), 1)
+
+
+def distinct_by(items, key) -> Column:
+    """Of elements with equal keys the first, in order; by sorting, so linear but for a logarithm."""
+    ranked = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = let(ranked, lambda r: F.filter(r, lambda e, i: (i == 0) | (e["k"] != F.get(r, F.greatest(i - 1, F.lit(0)))["k"])))
+    return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"], e["x"]))), lambda e: e["x"])
+
+
 def phrase(c) -> Column:
     """Lower-cased compact phrase."""
     return F.lower(compact(c))
@@ -139,28 +157,36 @@ def is_case_title(c) -> Column:
     return F.exists(F.array(*map(F.lit, CASE_TITLES)), lambda w: F.contains(t, w))
 
 
+def trimmed(items) -> Column:
+    """Stripped elements, empty ones dropped."""
+    return F.filter(F.transform(items, lambda x: strip(x)), lambda x: x != "")
+
+
 def sentences(c) -> Column:
     """Split after . ? ! and white space."""
-    return F.filter(F.transform(F.split(compact(c), r"(?<=[.?!])\s+"), F.trim), lambda x: x != "")
+    return trimmed(F.split(compact(c), r"(?<=[.?!])\s+"))
+
+
+def all_lines(c) -> Column:
+    return trimmed(F.split(F.coalesce(col(c), F.lit("")), "\n"))
 
 
 def lines(c, limit: int = 12) -> Column:
-    """Trimmed, non-empty, distinct lines in order."""
-    return F.slice(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), "\n"), F.trim), lambda x: x != "")), 1, limit)
+    """Stripped, non-empty, distinct lines in order."""
+    return F.slice(F.array_distinct(all_lines(c)), 1, limit)
 
 
 def lines_nocase(c) -> Column:
-    """Lines, of those that differ in case alone the first spelling."""
-    items = lines(c, 10_000)
-    return F.filter(items, lambda x, i: F.array_position(F.transform(items, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    """All lines, of those that differ in case alone the first spelling."""
+    return distinct_by(all_lines(c), F.lower)
 
 
 def lines_plain(c) -> Column:
     """Lines without bullets and numbering; one line of 120 characters or more is cut into sentences."""
-    raw = F.trim(F.coalesce(col(c), F.lit("")))
-    each = F.filter(F.transform(F.split(raw, r"\r?\n"), F.trim), lambda x: x != "")
+    raw = strip(F.coalesce(col(c), F.lit("")))
+    each = trimmed(F.split(raw, r"\r?\n"))
     each = F.when((F.size(each) <= 1) & (F.length(raw) >= 120), F.split(raw, r"(?<=[.!?])\s+(?=[A-Z0-9])")).otherwise(each)
-    return F.filter(F.transform(each, lambda x: F.trim(F.regexp_replace(x, r"^\s*[-*\d.)\]]+\s*", ""))), lambda x: x != "")
+    return trimmed(F.transform(each, lambda x: F.regexp_replace(x, r"^\s*[-*\d.)\]]+\s*", "")))
 
 
 def unfenced(c) -> Column:
@@ -221,10 +247,9 @@ DEFINES = r"(?i)\b(is|are|was|were) (defined|characteri[sz]ed|caused|a|an|the)\b
 METHOD = r"(?i)\b(method|methods|protocol|guideline|guidelines|questionnaire|software|algorithm|we (used|performed|conducted))\b"
 
 
-def sentence_score(sentence, phrases) -> Column:
-    """+10 definitional, -6 methodological, +2 for each phrase held, -0.005 a character."""
-    s, m = compact(sentence), matchable(sentence)
-    hits = F.size(F.filter(col(phrases), lambda p: (p != "") & F.contains(m, p)))
+def sentence_score(sentence, hits) -> Column:
+    """+10 definitional, -6 methodological, +2 for each of `hits` phrases held, -0.005 a character."""
+    s = col(sentence)
     return F.when(s.rlike(DEFINES), 10.0).otherwise(0.0) - F.when(s.rlike(METHOD), 6.0).otherwise(0.0) + hits * 2.0 - F.length(s) * 0.005
 
 

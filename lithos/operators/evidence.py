@@ -66,12 +66,14 @@ def quantiles(rows: DataFrame, value: str, group: list[str] | None = None) -> Da
 
 def hit_sentences(docs: DataFrame, key: str, text: str, phrases: str, most: int = 5) -> DataFrame:
     """Best sentences that hold a phrase, ranked by score, else the first two."""
-    ph = F.filter(F.transform(phrases, T.matchable), lambda p: p != "")
+    ph = F.filter(F.transform(phrases, lambda p: T.matchable(p)), lambda p: p != "")
     rows = docs.select(key, T.sentences(text).alias("s"), ph.alias("ph"))
-    hit = F.filter("s", lambda s: F.exists("ph", lambda p: F.contains(T.matchable(s), p)))
-    scored = F.array_sort(F.transform(F.array_distinct(hit), lambda s, i: F.struct((-T.sentence_score(s, "ph")).alias("a"), i.alias("i"), s.alias("s"))))
+    # each different sentence is normalised and matched once
+    held = F.transform(F.array_distinct("s"), lambda s, i: F.struct(i.alias("i"), s.alias("s"), T.let(T.matchable(s), lambda m: F.size(F.filter("ph", lambda p: F.contains(m, p)))).alias("n")))
+    rows = rows.select(key, "s", F.filter(held, lambda x: x["n"] > 0).alias("hit"))
+    scored = F.array_sort(F.transform("hit", lambda x: F.struct((-T.sentence_score(x["s"], x["n"])).alias("a"), x["i"].alias("i"), x["s"].alias("s"))))
     best = F.slice(F.transform(scored, lambda x: x["s"]), 1, most)
-    return rows.select(key, F.when(F.size(hit) > 0, best).otherwise(F.slice("s", 1, 2)).alias("sentences"))
+    return rows.select(key, F.when(F.size("hit") > 0, best).otherwise(F.slice("s", 1, 2)).alias("sentences"))
 
 
 def missing_scales(rows: DataFrame, scales: list[str]) -> DataFrame:

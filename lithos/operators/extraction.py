@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,69 +67,106 @@ def squeeze(s: str) -> str:
     return " ".join(s.split())
 
 
+class Sentences:
+    """The sentences of one text, cut once; pieces around a match."""
+
+    def __init__(self, text: str):
+        self.text, self.spans = text, sentence_spans(text)
+        self.clauses: dict[int, list[tuple[int, int]]] = {}
+        self.made: dict[tuple[int, int], str] = {}
+
+    def around(self, a: int, b: int, clause: bool) -> str:
+        """The sentence around a match, or its clause and 40 characters on either side."""
+        if not self.spans:
+            return squeeze(self.text[max(0, a - 120) : b + 120])
+        s, e = pick(self.spans, a, b)
+        lo, hi = s, e
+        if clause:
+            if s not in self.clauses:
+                self.clauses[s] = cut_at(self.text[s:e], CLAUSE)
+            if inner := self.clauses[s]:
+                x, y = pick(inner, a - s, b - s)
+                lo, hi = s + max(0, x - 40), min(e, s + y + 40)
+        if (lo, hi) not in self.made:
+            self.made[lo, hi] = squeeze(self.text[lo:hi])
+        return self.made[lo, hi]
+
+
 def context(text: str, a: int, b: int, clause: bool) -> str:
-    """The sentence around a match, or its clause and 40 characters on either side."""
-    spans = sentence_spans(text)
-    if not spans:
-        return squeeze(text[max(0, a - 120) : b + 120])
-    s, e = pick(spans, a, b)
-    part = text[s:e]
-    if clause and (inner := cut_at(part, CLAUSE)):
-        x, y = pick(inner, a - s, b - s)
-        part = part[max(0, x - 40) : y + 40]
-    return squeeze(part)
+    return Sentences(text).around(a, b, clause)
 
 
-def anchors(ctx: str, vocabulary: str = "rerun") -> list[str]:
+@lru_cache(maxsize=None)
+def families(vocabulary: str) -> tuple:
     patterns, order, literal = VOCABULARY[vocabulary]
+    return tuple((k, re.compile(patterns[k], re.I)) for k in order), literal
+
+
+@lru_cache(maxsize=4096)
+def anchors(ctx: str, vocabulary: str = "rerun") -> list[str]:
+    """Families whose pattern occurs, in their order, then literals, distinct."""
+    patterns, literal = families(vocabulary)
     low = ctx.lower()
-    return list(dict.fromkeys([k for k in order if re.search(patterns[k], ctx, re.I)] + [x for x in literal if x in low]))
+    return list(dict.fromkeys([k for k, p in patterns if p.search(ctx)] + [x for x in literal if x in low]))
 
 
-def mentions_in(text: str, vocabulary: str = "rerun") -> list[dict]:
-    """Blood pressures, then heart rates, then other values, each group by position."""
-    out, pressure = [], []
+FIELDS = ("span_start", "span_end", "surface", "raw_unit", "kind", "num", "low", "high", "systolic", "diastolic", "anchors_hit", "context", "ref_low", "ref_high", "ref_unit")
+
+
+def found_in(text: str, vocabulary: str = "rerun") -> list[tuple]:
+    """Blood pressures, then heart rates, then other values, each group by position (T04-T09), as FIELDS."""
+    out, pressure, around = [], [], Sentences(text).around
 
-    def add(a: int, b: int, unit: str, value: dict, clause: bool, ranged: bool = False) -> None:
-        ctx = context(text, a, b, clause)
-        ref = None
-        if ranged:
-            ref = next(({"low": float(m[1]), "high": float(m[2]), "unit": T.UNITS.get(unit.lower(), unit)} for m in RANGE.finditer(ctx) if m[3].lower() == unit.lower()), None)
-        none = dict.fromkeys(("num", "low", "high", "systolic", "diastolic"))
-        out.append({"span_start": a, "span_end": b, "surface": text[a:b], "raw_unit": unit, "value": none | value, "anchors_hit": anchors(ctx, vocabulary), "context": ctx, "ref_range": ref})
+    def add(m, unit: str, clause: bool, kind: str, num=None, low=None, high=None, systolic=None, diastolic=None, ranged: bool = False) -> None:
+        a, b = m.span()
+        ctx = around(a, b, clause)
+        ref = next((r for r in RANGE.finditer(ctx) if r[3].lower() == unit.lower()), None) if ranged else None
+        out.append((a, b, m[0], unit, kind, num, low, high, systolic, diastolic, anchors(ctx, vocabulary), ctx, *((float(ref[1]), float(ref[2]), T.UNITS.get(unit.lower(), unit)) if ref else (None, None, None))))
 
     for m in PRESSURE.finditer(text):
         pressure.append(m.span())
-        add(*m.span(), "mmHg", {"kind": "pressure", "systolic": float(m[1]), "diastolic": float(m[2])}, True)
+        add(m, "mmHg", True, "pressure", systolic=float(m[1]), diastolic=float(m[2]))
     for m in PULSE.finditer(text):
         if not any(s <= m.start() and m.end() <= e for s, e in pressure):
-            add(*m.span(), m[2], {"kind": "number", "num": float(m[1])}, True)
+            add(m, m[2], True, "number", num=float(m[1]))
     for m in VALUE.finditer(text):
         if any(m.start() < e and s < m.end() for s, e in pressure):
             continue
         ends = [x.strip() for x in re.split(DASH, m[1])]
         value = {"kind": "range", "low": float(ends[0]), "high": float(ends[1])} if len(ends) == 2 else {"kind": "number", "num": float(m[1])}
-        add(*m.span(), m[2], value, m[2].lower() in T.LAB, True)
+        add(m, m[2], m[2].lower() in T.LAB, ranged=True, **value)
     return out
 
 
-MENTION = "span_start int, span_end int, surface string, raw_unit string, value struct<kind:string,num:double,low:double,high:double,systolic:double,diastolic:double>, anchors_hit array<string>, context string, ref_range struct<low:double,high:double,unit:string>"
+def mentions_in(text: str, vocabulary: str = "rerun") -> list[dict]:
+    return [dict(zip(FIELDS, m, strict=True)) for m in found_in(text, vocabulary)]
+
+
+MENTION = "span_start int, span_end int, surface string, raw_unit string, kind string, num double, low double, high double, systolic double, diastolic double, anchors_hit array<string>, context string, ref_low double, ref_high double, ref_unit string"
+KINDS = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
 
 
 def extract(chunks: DataFrame, key: str = "chunk_key", text: str = "text", vocabulary: str = "rerun") -> DataFrame:
-    """One row per mention: key, unit, label_options, span_id and the columns of MENTION."""
+    """One row per mention: key, span_start, span_end, surface, raw_unit, value, anchors_hit, context,
+    ref_range, unit, label_options, span_id."""
     # most text has no digit followed by a unit: the prefilter runs before anything leaves the JVM
     likely = chunks.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"\d\s*(?i:mm|mg|ms|bpm|beats|[smhdwy%])"))
+    kinds = [KINDS[x.strip().split(" ", 1)[1]] for x in MENTION.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"k": k, **m} for k, t in zip(b["k"], b["t"], strict=True) for m in mentions_in(t, vocabulary)]
-            yield pd.DataFrame(rows, columns=["k", "span_start", "span_end", "surface", "raw_unit", "value", "anchors_hit", "context", "ref_range"])
+            found = [found_in(t, vocabulary) for t in b.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            if len(row):
+                cols = zip(*[m for x in found for m in x], strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["k", *FIELDS])
 
     kind = dict(likely.dtypes)["k"]
-    out = likely.mapInPandas(run, f"k {kind}, {MENTION}")
-    out = out.withColumns({"unit": T.unit("raw_unit"), "label_options": T.label_options("raw_unit", "anchors_hit", "context")})
-    return out.withColumn("span_id", F.sha1(F.concat_ws("|", F.col("k").cast("string"), "surface", "unit"))).withColumnRenamed("k", key)
+    m = likely.mapInArrow(run, f"k {kind}, {MENTION}")
+    value = F.struct("kind", "num", "low", "high", "systolic", "diastolic").alias("value")
+    ref = F.when(F.col("ref_unit").isNotNull(), F.struct(F.col("ref_low").alias("low"), F.col("ref_high").alias("high"), F.col("ref_unit").alias("unit"))).alias("ref_range")
+    out = m.select(F.col("k").alias(key), "span_start", "span_end", "surface", "raw_unit", value, "anchors_hit", "context", ref, T.unit("raw_unit").alias("unit"), T.label_options("raw_unit", "anchors_hit", "context").alias("label_options"))
+    return out.withColumn("span_id", F.sha1(F.concat_ws("|", F.col(key).cast("string"), "surface", "unit")))
 
 
 def repacked(mentions: DataFrame) -> DataFrame:

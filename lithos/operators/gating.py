@@ -10,8 +10,8 @@ from ..functions import text as T
 
 def hits(line, anchors) -> Column:
     """Keys of the map anchors (key → keywords) with a keyword in the line."""
-    x = T.alnum(line)
-    found = F.filter(F.map_entries(T.col(anchors)), lambda e: F.exists(e["value"], lambda a: T.holds_phrase(x, a)))
+    held = lambda x: F.filter(F.map_entries(T.col(anchors)), lambda e: F.exists(e["value"], lambda a: (a != "") & F.contains(x, F.concat(F.lit(" "), a, F.lit(" ")))))
+    found = T.let(F.concat(F.lit(" "), T.alnum(line), F.lit(" ")), held)
     return F.transform(found, lambda e: e["key"])
 
 
@@ -23,26 +23,42 @@ def blacklisted(line, words: tuple[str, ...] = T.BLACKLIST) -> Column:
 def gated(items: DataFrame, lines: str = "lines", anchors: str = "anchors", seed: str | None = "seed", least_hits: int = 2, words: tuple[str, ...] = T.BLACKLIST) -> DataFrame:
     """Adds valid (lines that pass, distinct in order), covered (sorted keys they hit), missing
     and coverage (F18, A17, O04). seed: a key every line must hit, or None."""
-    ok = lambda x: ~blacklisted(x, words) & (F.size(hits(x, anchors)) >= least_hits) & (F.array_contains(hits(x, anchors), F.col(seed)) if seed else F.lit(True))
-    valid = F.array_distinct(F.transform(F.filter(lines, ok), F.trim))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("valid", lambda x: hits(x, anchors)))))
-    out = items.withColumn("valid", valid).withColumn("covered", covered)
+    # each line is normalised and matched once: (line, the keys it hits)
+    met = F.transform(F.filter(lines, lambda x: ~blacklisted(x, words)), lambda x: F.struct(T.strip(x).alias("x"), hits(x, anchors).alias("h")))
+    good = F.filter(met, lambda m: (F.size(m["h"]) >= least_hits) & (F.array_contains(m["h"], F.col(seed)) if seed else F.lit(True)))
+    out = items.withColumn("_good", good)
+    out = out.withColumns({"valid": F.array_distinct(F.transform("_good", lambda m: m["x"])), "covered": F.array_sort(F.array_distinct(F.flatten(F.transform("_good", lambda m: m["h"]))))}).drop("_good")
     return out.withColumns({"missing": F.array_except(F.map_keys(anchors), "covered"), "coverage": F.size("covered") / F.greatest(F.lit(1), F.size(anchors))})
 
 
 def diversity(lines) -> Column:
     """struct(div_ok, reason, dup_start_ratio, near_dup_pairs) of the lines of one item.
     Pairs are within one item's few generated lines."""
-    norm = F.transform(T.col(lines), T.alnum)
-    starts = F.transform(norm, lambda x: F.array_join(F.slice(F.split(x, " "), 1, 3), " "))
-    n = F.size(norm)
-    ratio = 1.0 - F.size(F.array_distinct(F.filter(starts, lambda s: s != ""))) / F.greatest(F.lit(1), n)
-    tokens = F.transform(norm, lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda t: t != "")))
-    close = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b))) >= 0.92)
-    pairs = F.aggregate(F.transform(tokens, lambda a, i: F.size(F.filter(tokens, lambda b, j: (j > i) & close(a, b)))), F.lit(0), lambda s, x: s + x)
-    many = pairs >= F.greatest(F.lit(3), F.floor(n / 2).cast("int"))
-    reason = F.when(n == 0, "no_lines").when(many, "near_duplicates").when(ratio > 0.55, "duplicate_starts").otherwise("ok")
-    return F.struct((reason == "ok").alias("div_ok"), reason.alias("reason"), F.when(n == 0, 1.0).otherwise(ratio).alias("dup_start_ratio"), F.when(n == 0, 0).otherwise(pairs).alias("near_dup_pairs"))
+    def of(tokens: Column) -> Column:
+        """tokens: for each line its tokens in order, computed once."""
+        n = F.size(tokens)
+        starts = F.transform(tokens, lambda t: F.array_join(F.slice(t, 1, 3), " "))
+        ratio = 1.0 - F.size(F.array_distinct(F.filter(starts, lambda s: s != ""))) / F.greatest(F.lit(1), n)
+
+        def close(a: Column, b: Column) -> Column:
+            # sets of sizes p <= q with Jaccard >= 0.92 have p >= 0.92 q: most pairs are settled by their sizes
+            p, q = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+            same = F.size(F.array_intersect(a, b))
+            return F.when((p == 0) | (p < q * 0.92), F.lit(False)).otherwise(same / (p + q - same) >= 0.92)
+
+        count = lambda sets: F.aggregate(F.transform(sets, lambda a, i: F.size(F.filter(F.slice(sets, i + 2, F.size(sets)), lambda b: close(a, b)))), F.lit(0), lambda s, x: s + x)
+        pairs = T.let(F.transform(tokens, lambda t: F.array_distinct(t)), count)
+        return F.struct(n.alias("n"), ratio.alias("ratio"), pairs.alias("pairs"))
+
+    d = T.let(F.transform(T.col(lines), lambda x: F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))), of)
+
+    def judged(d: Column) -> Column:
+        n, ratio, pairs = d["n"], d["ratio"], d["pairs"]
+        many = pairs >= F.greatest(F.lit(3), F.floor(n / 2).cast("int"))
+        reason = F.when(n == 0, "no_lines").when(many, "near_duplicates").when(ratio > 0.55, "duplicate_starts").otherwise("ok")
+        return F.struct((reason == "ok").alias("div_ok"), reason.alias("reason"), F.when(n == 0, 1.0).otherwise(ratio).alias("dup_start_ratio"), F.when(n == 0, 0).otherwise(pairs).alias("near_dup_pairs"))
+
+    return T.let(d, judged)
 
 
 def best_attempt(attempts: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lithos.functions import text as T
 from lithos.functions import vectors as V
-from lithos.operators import extraction, graph, models, sampling
+from lithos.operators import extraction, gating, graph, models, sampling
 from lithos.sources import files, markup, remote, sinks
 
 
@@ -58,6 +58,32 @@ def test_lines(spark):
     assert models.first_json('x {a} {"k": "}"} y') == '{"k": "}"}' and models.first_json(None) is None
 
 
+def test_lines_keep_digits_and_lose_blanks(spark):
+    """Blanks go at both ends whatever a line's place, and digits stay."""
+    text = "  a  \nb1\n\t year 2022 \nx 3\nX 3\n"
+    assert one(spark, T.lines("t"), t=text) == ["a", "b1", "year 2022", "x 3", "X 3"]
+    assert one(spark, T.lines_nocase("t"), t=text) == ["a", "b1", "year 2022", "x 3"]
+    many = "\n".join(f" l{i} " for i in range(12000)) + "\nL7\nl0"
+    assert one(spark, T.lines_nocase("t"), t=many) == [f"l{i}" for i in range(12000)]
+    assert one(spark, T.lines("t"), t=many) == [f"l{i}" for i in range(12)]
+    assert one(spark, T.sentences("t"), t=" One is 1 of 11.  Two 2?\nThree 3! 4 ") == ["One is 1 of 11.", "Two 2?", "Three 3!", "4"]
+    assert one(spark, T.lines_plain("t"), t="2022 was 1\n - b 2 \n") == ["was 1", "b 2"]
+    rows = spark.createDataFrame([(["  fever 1 low 0 ", "fever 1 low 0", "low fever 11", "fever", "rash fever low"], {"a": ["fever"], "b": ["low"]})], "lines array<string>, anchors map<string,array<string>>")
+    r = gating.gated(rows, seed=None).first()
+    assert r.valid == ["fever 1 low 0", "low fever 11"] and r.covered == ["a", "b"] and r.coverage == 1.0
+
+
+def test_diversity_against_pairs(spark):
+    rnd = np.random.default_rng(3)
+    voc = [f"w{i}" for i in range(14)]
+    for n in (0, 1, 5, 12):
+        lines = [" ".join(rnd.permutation(voc)[: rnd.integers(0, 15)]) for _ in range(n)] + (["a b c", "a b c"] if n > 1 else [])
+        sets = [set(x.split()) for x in lines]
+        want = sum(bool(a) and bool(b) and len(a & b) / len(a | b) >= 0.92 for i, a in enumerate(sets) for b in sets[i + 1 :])
+        d = spark.createDataFrame([(lines,)], "lines array<string>").select(gating.diversity("lines").alias("d")).first().d
+        assert d.near_dup_pairs == want and (d.reason == "no_lines") == (n == 0)
+
+
 def test_ontology_closure_with_a_cycle(spark):
     e = spark.createDataFrame([("D", "B"), ("D", "C"), ("B", "A"), ("C", "A"), ("E", "C"), ("P", "Q"), ("Q", "P")], "child string, parent string")
     got = {}
