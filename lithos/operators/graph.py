@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,11 +22,22 @@ BLOCK_BYTES = 64 << 20
 PIECE = 8192
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset one of our own on one machine, an error on several."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = os.path.join(tempfile.gettempdir(), f"lithos-{spark.sparkContext.applicationId}")
+        if not os.path.isdir(base):
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base.rstrip("/")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the folder in spark.checkpoint.dir (one of our own where unset) and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"lithos-{spark.sparkContext.applicationId}")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -130,6 +143,36 @@ def approximate_knn(vectors: DataFrame, k: int, id_col: str = "id", vec: str = "
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j"))).where(F.col("rank") <= k)
 
 
+def padded(neighbours: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """neighbours (i, j, rank, sim) with exactly k rows for each id: those with fewer are filled with
+    themselves at similarity 1 (F21)."""
+    have = neighbours.groupBy("i").agg(F.count("*").alias("c"))
+    short = ids.select(F.col("id").alias("i")).join(have, "i", "left").where(F.coalesce("c", F.lit(0)) < k)
+    more = short.select("i", F.explode(F.sequence(F.coalesce("c", F.lit(0)).cast("int") + 1, F.lit(k))).alias("rank")).select("i", F.col("i").alias("j"), "rank", F.lit(1.0).alias("sim"))
+    return neighbours.select("i", "j", "rank", "sim").unionByName(more)
+
+
+def range_pool(ids: DataFrame, key: str, mask: str, ranges: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """Prototypes of pool rows (row, vec) in [s, e) of each id under the mask (J12, A12): key, n, vec. A
+    range outside the pool is an error when the plan runs; ids without a range have no row. ranges: key, r (struct s, e)."""
+    size = pool.count()
+    used = ids.where(F.col(mask) > 0).join(ranges, key).where("r.e > r.s")
+    ok = F.when((F.col("r.s") < 0) | (F.col("r.e") > size), F.raise_error(F.concat(F.lit("range out of bounds: "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    rows = used.where(ok).select(key, F.explode(F.sequence(F.col("r.s"), F.col("r.e") - 1)).alias("row")).join(pool, "row")
+    return topk_pool(rows, key, k, "row")
+
+
+def children(edges: DataFrame) -> DataFrame:
+    """Number of children of each parent."""
+    return edges.groupBy("parent").agg(F.count_distinct("child").alias("n"))
+
+
+def seed_similarity(sets: DataFrame, seed: str, members: str, vectors: DataFrame) -> DataFrame:
+    """Mean similarity of each seed to its other members."""
+    pairs = sets.select(F.col(seed).alias("i"), F.explode(members).alias("j")).where("i <> j")
+    return similarity(pairs, vectors).groupBy(F.col("i").alias(seed)).agg(F.avg("sim").alias("mean_sim"), F.count("*").alias("n"))
+
+
 def similarity(pairs: DataFrame, vectors: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
     """Exact inner product of given pairs i, j."""
     a = vectors.select(F.col(id_col).alias("i"), F.col(vec).alias("_a"))

@@ -63,6 +63,73 @@ def encode(rows: DataFrame, text: str, factory: Callable[[], Encoder], out: str
     return rows.withColumn(out, run(F.col(text)))
 
 
+def views(terms: DataFrame, key: str, name: str, mechanism: str, domain: str, text: str, factory: Callable[[], Encoder]) -> DataFrame:
+    """key, view, vec (V01, V02): E0 the name, E1 name and domain, E2 name, mechanism and domain, each the
+    unit mean of its distinct phrases' vectors; E3 the text of all. Each phrase is encoded once a row."""
+    from ..functions import vectors as V
+
+    lists = {"E0": [], "E1": [domain], "E2": [mechanism, domain]}
+    phrases = F.array(*[F.struct(F.lit(v).alias("view"), T.clean_list(F.concat(F.array(name), *cols)).alias("p")) for v, cols in lists.items()], F.struct(F.lit("E3").alias("view"), F.array(F.col(text)).alias("p")))
+    each = terms.select(key, F.explode(phrases).alias("x")).select(key, "x.view", F.explode("x.p").alias("phrase"))
+    once = encode(each.select("phrase").distinct(), "phrase", factory)
+    return V.mean_vector(each.join(once, "phrase"), [key, "view"]).select(key, "view", "vec")
+
+
+def definition_vectors(ids: DataFrame, key: str, name: str, given: DataFrame | None, factory: Callable[[], Encoder]) -> DataFrame:
+    """key, vec (V12): the given vectors if there is one for each id, else "name (id)" encoded."""
+    if given is not None and given.count() == ids.count():
+        return ids.select(key).join(given.select(key, "vec"), key)
+    return encode(ids.select(key, F.concat(F.col(name), F.lit(" ("), F.col(key).cast("string"), F.lit(")")).alias("_t")), "_t", factory).select(key, "vec")
+
+
+def generate_scales(terms: DataFrame, key: str, prompts: dict[str, str], factory: Callable[[], Model], system: str = "", tries: int = 3) -> DataFrame:
+    """For each term and each scale in prompts (scale: prompt column) an answer (U18): key, and for each
+    scale its lines and error. A failed scale has no lines and its error; the others stay."""
+    stages = F.array(*[F.struct(F.lit(s).alias("scale"), F.col(p).alias("prompt")) for s, p in prompts.items()])
+    asked = terms.select(F.col(key), F.explode(stages).alias("x")).select(F.struct(F.col(key).alias("t"), F.col("x.scale").alias("scale")).alias("k"), F.col("x.prompt").alias("prompt"))
+    got = complete(asked, "k", system, "prompt", factory, tries, base=0.0)
+    cols = []
+    for s in prompts:
+        mine = F.col("k.scale") == s
+        cols += [F.coalesce(F.max(F.when(mine, T.lines("answer"))), F.array().cast("array<string>")).alias(s), F.max(F.when(mine, F.col("error"))).alias(f"{s}_error")]
+    return got.groupBy(F.col("k.t").alias(key)).agg(*cols)
+
+
+def refill_scales(items: DataFrame, key: str, prompts: dict[str, str], factory: Callable[[], Model], system: str = "", tries: int = 3) -> DataFrame:
+    """items with their empty scales generated (U19, F04); scales that have lines are not asked for again.
+    prompts: scale column → prompt column."""
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    asked = items.select(key, *[F.when(empty(s), F.col(p)).alias(f"_{s}") for s, p in prompts.items()])
+    some = asked.where(F.coalesce(*[F.col(f"_{s}") for s in prompts]).isNotNull())
+    fresh = generate_scales(some, key, {s: f"_{s}" for s in prompts}, lambda: unasked(factory()), system, tries)
+    out = items.join(fresh.select(key, *[F.col(s).alias(f"_new_{s}") for s in prompts]), key, "left")
+    return out.withColumns({s: F.when(empty(s), F.coalesce(f"_new_{s}", F.array().cast("array<string>"))).otherwise(F.col(s)) for s in prompts}).drop(*[f"_new_{s}" for s in prompts])
+
+
+def unasked(model: Model) -> Model:
+    """The model, but a null prompt, which comes as the empty text, is not sent."""
+    return lambda system, user: model(system, user) if user else ""
+
+
+def grounded_lines(jobs: DataFrame, key: str, prompt: str, context: str, factory: Callable[[], Model], system: str = "", tries: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(outputs, failures) of prompts whose lines must stand in their context (U20, F13, F14): lines of
+    the answer, those anchored in the context; a failure has its reason: error, none or unanchored."""
+    from .evidence import anchored, is_none
+
+    got = complete(jobs, key, system, prompt, factory, tries, base=0.0)
+    rows = jobs.join(got, key).withColumn("lines", T.lines("answer")).withColumn("kept", anchored("lines", context))
+    why = F.when(F.col("error").isNotNull(), "error").when(is_none("lines") | (F.size("lines") == 0), "none").when(F.size("kept") == 0, "unanchored")
+    rows = rows.withColumn("reason", why)
+    return rows.where("reason is null").select(key, F.col("kept").alias("lines")), rows.where("reason is not null").select(key, "reason", "error")
+
+
+def repair_phrases(rows: DataFrame, key: str, phrase: str, factory: Callable[[], Model], system: str = "", tries: int = 3) -> DataFrame:
+    """rows with `rewritten`: the first line a model answers for each weak phrase (U17); null for the others."""
+    weak = rows.where(T.is_weak(phrase))
+    got = complete(weak, key, system, phrase, factory, tries, base=0.0).select(key, F.get(T.lines("answer"), F.lit(0)).alias("rewritten"))
+    return rows.join(got, key, "left")
+
+
 def last_token(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """The state of each text's last real token, padded left or right."""
     if mask[:, -1].all():

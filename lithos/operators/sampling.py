@@ -15,14 +15,21 @@ def k_of_n(rows: DataFrame, group: list[str], key: list[str], k: int, seed: int)
     return rows.withColumn("_u", u).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k).drop("_u")
 
 
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """rows with `at`, their place (0, 1, ...) in the given order: a range-partitioned sort, written
+    once with each row's place in its partition, and the counts of the partitions before."""
+    from .graph import stored
+
+    kept = stored(rows.sort(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "numbered")
+    before = kept.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("_first"))
+    before = before.select("_p", "_first", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each partition
+    return kept.join(F.broadcast(before), "_p").withColumn("at", F.col("_base") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_first", "_base")
+
+
 def shuffled_range(rows: DataFrame, key: str, seed: int, start: int, stop: int) -> DataFrame:
-    """Rows start to stop of the shuffled order (F02, F16). Only keys are ordered: a shard
-    border is found by a range-partitioned sort with counts per partition, not in one task."""
-    ordered = rows.select(F.col(key), T.uniform(seed, key).alias("_u")).sort("_u", key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    before = ordered.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first"))
-    before = before.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    placed = ordered.join(F.broadcast(before), "_p").withColumn("_at", F.col("base") + F.col("_i") - F.col("first"))
-    return rows.join(placed.where((F.col("_at") >= start) & (F.col("_at") < stop)).select(key), key, "left_semi")
+    """Rows start to stop of the shuffled order."""
+    placed = numbered(rows.select(F.col(key), T.uniform(seed, key).alias("_u")), ["_u", key])
+    return rows.join(placed.where((F.col("at") >= start) & (F.col("at") < stop)).select(key), key, "left_semi")
 
 
 def weighted_pick(rows: DataFrame, group: list[str], item: str, weight: str, seed: int, draws: int = 1, least: float = 0.001) -> DataFrame:
@@ -61,16 +68,28 @@ def repaired(rows: DataFrame, phrases: str = "phrases", rewritten: str = "rewrit
     return rows.withColumns({"weak": weak, "repaired": new.isNotNull(), "used": F.when(better, new).otherwise(F.col(phrases))})
 
 
-def non_neighbours(ids: DataFrame, key: str, edges: DataFrame, src: str, dst: str, seed: int, tries: int = 64) -> DataFrame:
-    """For each id one that is neither itself nor a neighbour (J17). Candidates are `tries` hashed
-    positions in the numbered ids, anti-joined with the neighbours, so no cross join is needed; an
-    id whose candidates are all neighbours is left out."""
-    numbered = ids.select(key).distinct().sort(key).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF(f"other {dict(ids.dtypes)[key]}, at long")
-    n = numbered.count()
-    cand = ids.select(key, F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("t"))
-    cand = cand.withColumn("at", F.floor(T.uniform(seed, key, "t") * n).cast("long")).join(numbered, "at").where(F.col(key) != F.col("other"))
-    near = edges.select(F.col(src).alias(key), F.col(dst).alias("other")).distinct()
-    return cand.join(near, [key, "other"], "left_anti").groupBy(key).agg(F.min_by("other", "t").alias("other"))
+def non_neighbours(ids: DataFrame, key: str, edges: DataFrame, src: str, dst: str, seed: int) -> DataFrame:
+    """For each id one that is neither itself nor a neighbour, drawn evenly by hash (J17): a place among
+    those left, moved on past the places left out. An id that neighbours all others has no row.
+    A row gathers the places of one id's neighbours."""
+    places = numbered(ids.select(key).distinct(), [key])
+    n = places.count()
+    near = edges.select(F.col(src).alias(key), F.col(dst).alias("_o")).unionByName(ids.select(key, F.col(key).alias("_o"))).distinct()
+    out = near.join(places.withColumnRenamed(key, "_o"), "_o").groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("_out"))
+    draw = F.floor(T.uniform(seed, key) * (n - F.size("_out"))).cast("long")
+    at = F.aggregate("_out", draw, lambda p, e: F.when(e <= p, p + 1).otherwise(p))
+    picked = ids.select(key).distinct().join(out, key).where(F.size("_out") < n).select(key, at.alias("at"))
+    return picked.join(places.withColumnRenamed(key, "other"), "at").select(key, "other")
+
+
+def inspection(rows: DataFrame, key: str, n_col: str, n: int, seed: int) -> DataFrame:
+    """n ids to look at (A27): half with the highest counts, half with the lowest, the rest by hash."""
+    half = max(1, n // 2)
+    top = rows.orderBy(F.desc(n_col), key).limit(half).select(key, F.lit(0).alias("_w"))
+    tail = rows.orderBy(F.asc(n_col), F.desc(key)).limit(half).select(key, F.lit(1).alias("_w"))
+    rest = rows.select(key).join(top.unionByName(tail).select(key), key, "left_anti").orderBy(T.uniform(seed, key), key).limit(n).select(key, F.lit(2).alias("_w"))
+    every = top.unionByName(tail).unionByName(rest).groupBy(key).agg(F.min("_w").alias("_w"))
+    return every.orderBy("_w", T.uniform(seed, key), key).limit(n).select(key)
 
 
 def term_sets(knn: DataFrame, labels: DataFrame, k_min: int, k_max: int, per_seed: int = 40, same_ratio: float = 0.85, seed: int = 42, least: int = 2) -> DataFrame:

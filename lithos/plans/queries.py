@@ -4,7 +4,6 @@ gives the same rows where SQL can say it."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -357,7 +356,7 @@ def abstract_parse(spark, sf_dir):
 
 
 @register("""SELECT 'PMC' || n_nationkey AS pmcid, s AS section, i::INT AS para_idx, t AS text FROM (
-SELECT n_nationkey, 'abstract' AS s, 0 AS i, n_name AS t FROM nation UNION ALL SELECT n_nationkey, 'Case ' || n_name, j, n_name || ' ' || j FROM nation, (VALUES (0), (1)) v(j) WHERE n_regionkey > 1 UNION ALL
+SELECT n_nationkey, 'Abstract' AS s, 0 AS i, n_name AS t FROM nation UNION ALL SELECT n_nationkey, 'Case ' || n_name, j, n_name || ' ' || j FROM nation, (VALUES (0), (1)) v(j) WHERE n_regionkey > 1 UNION ALL
 SELECT n_nationkey, 'Methods', 0, 'm' FROM nation WHERE n_regionkey <= 1 UNION ALL SELECT n_nationkey, 'Results', 0, 'r' FROM nation WHERE n_regionkey <= 1)""")
 def article_chunks(spark, sf_dir):
     case = F.concat(F.lit("<sec><title>Case "), "n_name", F.lit("</title><p>"), "n_name", F.lit(" 0</p><p> "), "n_name", F.lit("  1</p></sec>"))
@@ -373,7 +372,7 @@ def linked_ids(spark, sf_dir):
     return remote.linked(rows, "l_orderkey", "raw").select("l_orderkey", F.array_join("pmcids", ",").alias("pmcids"))
 
 
-@register("SELECT p_partkey::VARCHAR AS key, p_partkey % 3 > 0 AS found, CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 2 ELSE 0 END AS hits FROM part WHERE p_partkey <= 200")
+@register("SELECT p_partkey::VARCHAR AS key, p_partkey % 3 > 0 AS found, CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 2 ELSE 0 END AS hits FROM part")
 def replayed_lookup(spark, sf_dir):
     def ask(keys):
         if any(int(k) % 3 == 0 for k in keys):
@@ -455,8 +454,7 @@ def stream_windows(spark, sf_dir):
 @register("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def stream_resume(spark, sf_dir):
     """Two runs over the same input append each key once."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lithos-stream")
-    base = f"{base.rstrip('/')}/resume-{uuid.uuid4().hex}"
+    base = f"{graph.shared(spark)}/resume-{uuid.uuid4().hex}"
     for run in range(2):
         src = event_stream(spark, sf_dir)
         resume.append_new(src.select("user_id", "event_type"), lambda b: b, ["user_id", "event_type"], f"{base}/out", f"{base}/state{run}").awaitTermination()
@@ -489,7 +487,8 @@ def approximate_neighbours(spark, sf_dir):
     return graph.approximate_knn(embeddings(spark, sf_dir), 10).select("i", "j", F.round("sim", 6).alias("sim"), "rank")
 
 
-@register()
+@register(f"""WITH {KNN}, p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pl FROM embeddings), e AS (SELECT i, j FROM k UNION SELECT vec_id, vec_id FROM embeddings), x AS (SELECT i, list(pl ORDER BY pl) AS l FROM e JOIN p ON vec_id = j GROUP BY 1),
+d AS (SELECT i, list_reduce(list_prepend(floor({U.format("concat_ws('|', '11', i)")} * ((SELECT count(*) FROM p) - len(l)))::BIGINT, l), lambda a, b: CASE WHEN b <= a THEN a + 1 ELSE a END) AS pl FROM x) SELECT i AS id, vec_id AS other FROM d JOIN p USING (pl)""")
 def non_neighbours(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     return sampling.non_neighbours(e, "id", graph.knn(e, 10), "i", "j", 11)
@@ -501,8 +500,11 @@ def encoded_neighbours(spark, sf_dir):
     return graph.knn(models.encode(p, "t", models.hashing_encoder()), 5).select("i", "j", F.round("sim", 5).alias("sim"), "rank")
 
 
-@register()
+@register("SELECT n_name, 2 AS attempt, true AS ok, 1.0::DOUBLE AS coverage FROM nation")
 def gated_generation(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select("n_name", F.create_map(F.lit("a"), F.array(F.lit("fever")), F.lit("b"), F.array(F.lit("low valine"))).alias("anchors"), F.lit("a").alias("seed"), F.concat(F.lit("Write on "), "n_name").alias("prompt"))
     reply = "1. Fever came with low valine.\n2. Low valine, then fever again.\n- Late fever and low valine persist."
     return models.generate_gated(n, "n_name", "", "prompt", models.canned({"Required": reply, "FRANCE": reply}, "nothing")).select("n_name", "attempt", "ok", "coverage")
+
+
+from . import more  # noqa: E402, F401  (registers further queries)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -99,3 +99,56 @@ def require_all(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     joined = ids.select(key).distinct().join(rows.withColumn("_there", F.lit(True)), key, "left")
     ok = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
     return joined.where(ok).drop("_there")
+
+
+def first_seen(rows: DataFrame, key: str, position: list[str]) -> DataFrame:
+    """Distinct non-empty values of key with the place they are first met at, in that order."""
+    x = rows.where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
+    return x.groupBy(key).agg(F.min(F.struct(*position)).alias("first")).orderBy("first")
+
+
+def phrase_table(rows: DataFrame, key: str, scales: list[str]) -> DataFrame:
+    """Lower-case compact phrases of each scale, empty ones left out."""
+    return rows.select(key, *[F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: T.phrase(x)), lambda x: x != "").alias(c) for c in scales])
+
+
+def neighbour_table(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """key, neighbour, sim, rank from a JSON list of {id, sim}."""
+    each = F.posexplode(F.from_json(json, "array<struct<id:string,sim:double>>")).alias("p", "n")
+    return rows.select(key, each).select(key, F.col("n.id").alias("neighbour"), F.col("n.sim").alias("sim"), (F.col("p") + 1).alias("rank"))
+
+
+def cached_texts(spark: SparkSession, folder: str, suffix: str = ".xml") -> DataFrame:
+    """(id, text) of a folder of files named by id, ids normalised and distinct."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)" + suffix.replace(".", r"\.") + "$", 1)
+    raw = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
+    return raw.select(T.pmcid(name).alias("id"), F.col("value").alias("text")).where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def id_list(json) -> Column:
+    """Ids of a document that is a list, an object with ids or hpo_ids, or an object keyed by id."""
+    j = T.col(json)
+    listed = F.from_json(j, "array<string>")
+    named = F.from_json(F.coalesce(F.get_json_object(j, "$.ids"), F.get_json_object(j, "$.hpo_ids")), "array<string>")
+    keys = F.map_keys(F.from_json(j, "map<string,string>"))
+    return F.when(F.ltrim(j).startswith("["), listed).otherwise(F.coalesce(named, keys))
+
+
+def names(rows: DataFrame, id_col: str, name_col: str, prefix: str = "") -> DataFrame:
+    """(id, name) of rows with both, the id with the given prefix."""
+    x = rows.select(F.trim(id_col).alias("id"), T.compact(name_col).alias("name"))
+    return x.where((F.col("id") != "") & (F.col("name") != "") & F.col("id").startswith(prefix))
+
+
+def ranges(json) -> Column:
+    """[s, e] or {"s": s, "e": e} as struct(s, e), null for anything else."""
+    j = T.col(json)
+    pair = F.from_json(j, "array<long>")
+    both = F.when(F.size(pair) == 2, F.struct(pair[0].alias("s"), pair[1].alias("e")))
+    s, e = F.get_json_object(j, "$.s").cast("long"), F.get_json_object(j, "$.e").cast("long")
+    return F.coalesce(both, F.when(s.isNotNull() & e.isNotNull(), F.struct(s.alias("s"), e.alias("e"))))
+
+
+def resolved(path: str) -> str:
+    """path/out where that exists, else path."""
+    return str(Path(path) / "out") if (Path(path) / "out").is_dir() else path

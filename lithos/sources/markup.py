@@ -91,6 +91,6 @@ def chunks(articles: DataFrame) -> DataFrame:
     case = F.filter("sections", lambda s: T.is_case_title(s["title"]))
     used = F.when(F.size(case) > 0, case).otherwise(F.col("sections"))
     paras = lambda title, ps: F.transform(ps, lambda p, i: F.struct(title.alias("section"), i.alias("para_idx"), p.alias("text")))
-    every = F.concat(paras(F.lit("abstract"), F.slice("abstract", 1, 3)), F.flatten(F.transform(used, lambda s: paras(s["title"], s["paras"]))))
+    every = F.concat(paras(F.lit("Abstract"), F.slice("abstract", 1, 3)), F.flatten(F.transform(used, lambda s: paras(F.coalesce(F.nullif(s["title"], F.lit("")), F.lit("UNKNOWN")), s["paras"]))))
     rows = articles.where("error is null").select(F.col("id").alias("pmcid"), F.inline(every))
     return rows.withColumn("chunk_key", F.concat_ws("|", "pmcid", "section", F.col("para_idx").cast("string")))

@@ -55,3 +55,27 @@ def markdown(rows: DataFrame, title: str, most: int = 200) -> str:
     cells = [[("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in rows.limit(most).collect()]
     lines = ["| " + " | ".join(x) + " |" for x in [rows.columns, ["---"] * len(rows.columns), *cells]]
     return "\n".join([f"## {title}", "", *lines, ""])
+
+
+def finished(done: str, keys: DataFrame) -> None:
+    """Adds keys to the table of finished work (K10); readers anti-join it (evidence.remaining)."""
+    keys.write.mode("append").parquet(done)
+
+
+def snapshot(folder: str, tables: dict[str, DataFrame], meta: dict) -> None:
+    """Tables as Parquet under folder and what they are in meta.json, with their row counts."""
+    counts = {}
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        counts[name] = rows.sparkSession.read.parquet(f"{folder}/{name}").count()
+    write_json(meta | {"rows": counts}, f"{folder}/meta.json")
+
+
+def clusters(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(hpo_id, name, cluster) lines of a clustering, names missing as empty."""
+    return labels.join(names, "id", "left").select(F.to_json(F.struct(F.col("id").alias("hpo_id"), F.coalesce("name", F.lit("")).alias("name"), "cluster")).alias("line"))
+
+
+def manifest(rows: DataFrame, stamp: str, **config) -> dict:
+    """Run configuration with the number of rows written and the time given."""
+    return {"at": stamp, "config": config, "columns": rows.columns, "rows": rows.count()}

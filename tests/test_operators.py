@@ -206,3 +206,53 @@ def test_sinks(spark, tmp_path):
     sinks.write_partitioned(df.where("k = 'a'").withColumn("v", F.lit(5)), str(tmp_path / "p"), "k")
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).select("k", "v").collect()) == [("a", 5), ("b", 2)]
     assert "| a | 1 |" in sinks.markdown(df, "t")
+
+
+def test_snapshot_manifest_and_readers(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    sinks.snapshot(str(tmp_path), {"rows": df}, {"stamp": "t"})
+    assert json.loads((tmp_path / "meta.json").read_text()) == {"rows": {"rows": 2}, "stamp": "t"}
+    assert sinks.manifest(df, "t", seed=1) == {"at": "t", "config": {"seed": 1}, "columns": ["k", "v"], "rows": 2}
+    assert files.resolved(str(tmp_path)) == str(tmp_path)
+    (tmp_path / "out").mkdir()
+    assert files.resolved(str(tmp_path)) == str(tmp_path / "out")
+    cache = tmp_path / "xml"
+    cache.mkdir()
+    for name in ("PMC2", "pmc1", "note"):
+        (cache / f"{name}.xml").write_text(f"<a>{name}</a>\nend")
+    assert sorted((r.id, r.text) for r in files.cached_texts(spark, str(cache)).collect()) == [("PMC1", "<a>pmc1</a>\nend"), ("PMC2", "<a>PMC2</a>\nend")]
+    np.save(tmp_path / "m.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
+    assert {r.id: r.vec for r in graph.import_matrix(spark, str(tmp_path / "m.npy"), ["x", "y", "z"]).collect()} == {"x": [0.0, 1.0], "y": [2.0, 3.0], "z": [4.0, 5.0]}
+    with pytest.raises(ValueError):
+        graph.import_matrix(spark, str(tmp_path / "m.npy"), ["x"])
+    (tmp_path / "p.txt").write_text(" hi ")
+    assert files.read_text(str(tmp_path / "p.txt")) == "hi"
+
+
+def test_last_token_of_padded_texts():
+    states = np.arange(12).reshape(2, 3, 2)
+    assert models.last_token(states, np.array([[1, 1, 0], [1, 0, 0]])).tolist() == [[2, 3], [6, 7]]
+    assert models.last_token(states, np.array([[0, 1, 1], [1, 1, 1]])).tolist() == [[4, 5], [10, 11]]
+
+
+def test_ranges_out_of_bounds_fail(spark):
+    ids = spark.createDataFrame([(1, 1), (2, 0)], "k long, mask int")
+    pool = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "row long, vec array<double>")
+    ranges = spark.createDataFrame([(1, "[0, 2]"), (2, "[0, 9]")], "k long, j string").select("k", files.ranges("j").alias("r"))
+    assert [r.k for r in graph.range_pool(ids, "k", "mask", ranges, pool, 2).collect()] == [1]
+    with pytest.raises(Exception):
+        graph.range_pool(ids.withColumn("mask", F.lit(1)), "k", "mask", ranges, pool, 2).collect()
+
+
+def test_non_neighbours_of_dense_graphs(spark):
+    """Exact, however few are left; an id that neighbours all others has none."""
+    ids = spark.range(12)
+    near = ids.select(F.col("id").alias("i")).crossJoin(spark.range(12).select(F.col("id").alias("j"))).where("i <> j and (j <> (i + 5) % 12 or i = 3)")
+    got = {r.id: r.other for r in sampling.non_neighbours(ids, "id", near, "i", "j", 3).collect()}
+    assert got == {i: (i + 5) % 12 for i in range(12) if i != 3}
+
+
+def test_chunk_titles(spark):
+    xml = "<article><front><abstract><p>a</p></abstract></front><body><sec><p>x</p></sec></body></article>"
+    rows = markup.chunks(markup.parse_articles(spark.createDataFrame([("PMC1", xml)], "id string, xml string"))).collect()
+    assert [(r.section, r.text) for r in rows] == [("Abstract", "a"), ("UNKNOWN", "x")]
