@@ -157,8 +157,10 @@ def range_pool(ids: DataFrame, key: str, mask: str, ranges: DataFrame, pool: Dat
     range outside the pool is an error when the plan runs; ids without a range have no row. ranges: key, r (struct s, e)."""
     size = pool.count()
     used = ids.where(F.col(mask) > 0).join(ranges, key).where("r.e > r.s")
-    ok = F.when((F.col("r.s") < 0) | (F.col("r.e") > size), F.raise_error(F.concat(F.lit("range out of bounds: "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
-    rows = used.where(ok).select(key, F.explode(F.sequence(F.col("r.s"), F.col("r.e") - 1)).alias("row")).join(pool, "row")
+    out = (F.col("r.s") < 0) | (F.col("r.e") > size)
+    # in the projection, not a filter: a filter would be pushed below the join and see ids without the mask
+    each = F.when(out, F.raise_error(F.concat(F.lit("range out of bounds: "), F.col(key).cast("string"))).cast("array<bigint>")).otherwise(F.sequence(F.col("r.s"), F.col("r.e") - 1))
+    rows = used.select(key, F.explode(each).alias("row")).join(pool, "row")
     return topk_pool(rows, key, k, "row")
 
 

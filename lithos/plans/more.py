@@ -343,7 +343,7 @@ def coercions(spark, sf_dir):
 @register("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || ',' || p_type ELSE '' END AS kept, p_size % 3 = 0 AS none, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS approx FROM part""")
 def anchored_lines(spark, sf_dir):
     """Lines that stand in their context, NONE answers, approximate matches."""
-    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.array("p_name", F.lit("zzz qqq"), F.concat("p_type", F.lit("s"))).alias("l"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("(The "), F.upper("p_name"), F.lit("), of "), "p_type", F.lit("."))).otherwise("nothing").alias("ctx"), "p_name")
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.array("p_name", F.lit("zzz qqq"), F.concat("p_type", F.lit("s"))).alias("l"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("(The "), F.upper("p_name"), F.lit("), of "), "p_type", F.lit("."))).otherwise("nothing").alias("ctx"), "p_name", "p_type")
     kept = F.array_join(F.transform(evidence.anchored("l", "ctx"), lambda x: F.regexp_replace(x, "s$", "")), ",")
     return rows.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(","), F.regexp_extract(kept, "[^,]*$", 0))).otherwise(kept).alias("kept"), evidence.is_none(F.when(F.col("p_size") % 3 == 0, F.array(F.lit("none"))).otherwise(F.array(F.lit("none"), F.lit("x")))).alias("none"), T.approx_flag("p_type", "ctx", F.lit("")).alias("approx"))
 
