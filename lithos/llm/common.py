@@ -62,6 +62,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lithos-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)  # what nothing discarded before
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._lithos_path = path
