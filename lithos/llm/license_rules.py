@@ -47,7 +47,7 @@ TEXTS = [
     ("apache-2.0", "apache", r"licensed under the apache licen[sc]e", 0.97), ("gpl", "redistribute it and/or", r"you can redistribute it and/or modify it under the terms of the gnu general public", 0.98), ("lgpl", "redistribute it and/or", r"you can redistribute it and/or modify it under the terms of the gnu lesser", 0.98), ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public", 0.98), ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain", 0.98),
     ("bsl-1.0", "boost software", r"distributed under the boost software licen[sc]e", 0.97), ("public-domain", "public domain", r"(?:released|placed|dedicated)(?: in)?to the public domain", 0.9), ("public-domain", "public domain", r"in the public domain", 0.7), ("cc0", "cc0", r"\bcc0\b", 0.9), ("cc0", "no rights reserved", r"no rights reserved", 0.8), ("proprietary", "proprietary and confidential", r"proprietary and confidential", 0.9), ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)", 0.85), ("proprietary", "trade secret", r"(?:contains|constitutes?) trade secrets?", 0.7),
     ("proprietary", "without permission", r"(?:not|nor) (?:be )?(?:reproduced|copied|distributed) without (?:prior )?(?:written )?permission", 0.8), ("reserved", "rights reserved", r"(?:all|tous|alle|todos) rights reserved", 0.6), ("reserved", "droits", r"tous droits r[ée]serv[ée]s", 0.6), ("reserved", "rechte", r"alle rechte vorbehalten", 0.6), ("reserved", "derechos", r"todos los derechos reservados", 0.6), ("reserved", "some rights", r"some rights reserved", 0.5),
-    ("copyright", "copyright", r"copyright (?:\(c\)|©|\d{4})", 0.5), ("copyright", "©", r"© ?(?:\d{4}|[a-z])", 0.5), ("copyright", "(c)", r"\(c\) ?\d{4}", 0.4), ("warranty-disclaimer", "warranty", r"without warranty of any kind", 0.4), ("warranty-disclaimer", "warranties", r"without warranties or conditions of any kind", 0.4), ("warranty-disclaimer", "as is", r"provided [\"'“]?as is", 0.4), ("dual", "dual", r"dual[- ]licen[sc]ed", 0.5), ("open-access", "open access", r"open access article", 0.6), ("fair-use", "fair use", r"fair use", 0.3),
+    ("copyright", "copyright", r"copyright (?:\(c\)|©|\d{4})", 0.5), ("copyright", "©", r"© ?(?:\d{4}|[a-z])", 0.5), ("copyright", "(c)", r"\(c\) ?\d{4}", 0.4), ("warranty-disclaimer", "warranty", r"without warranty of any kind", 0.4), ("warranty-disclaimer", "warranties", r"without warranties or conditions of any kind", 0.4), ("warranty-disclaimer", "provided", r"provided [\"'“]?as is", 0.4), ("dual", "dual", r"dual[- ]licen[sc]ed", 0.5), ("open-access", "open access", r"open access article", 0.6), ("fair-use", "fair use", r"fair use", 0.3),
 ]
 
 

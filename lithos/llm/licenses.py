@@ -57,6 +57,27 @@ def compiled():
     return every, auto
 
 
+@lru_cache(maxsize=1)
+def required():
+    """For each rule the blank-free strings that any text it matches holds: flattening only makes blanks,
+    so these stand in the raw text as well. And an automaton of all of them."""
+    import ahocorasick
+
+    needs = [frozenset(word.split()) | frozenset(x for x in ("licen",) if named) | frozenset(x for x in ("0",) if "mit[- ]0" in p.pattern) | frozenset(x for x in ("by",) if "cc[ -]by" in p.pattern) for _, _, word, p, _, named in compiled()[0]]
+    auto = ahocorasick.Automaton()
+    for x in frozenset().union(*needs):
+        auto.add_word(x, x)
+    auto.make_automaton()
+    return frozenset(needs), auto
+
+
+def may_match(text: str) -> bool:
+    """Whether all that some rule requires stands in the text; if not, no rule matches it."""
+    needs, auto = required()
+    held = {x for _, x in auto.iter(text)}
+    return any(n <= held for n in needs)
+
+
 def detections(text: str) -> list[tuple[int, int, int, str, float]]:
     """(start, end, priority, label, weight) in lower-cased text, suppressed ones left out, by start.
     Rules see the text flattened, so that phrases may be wrapped; places are those in text."""
@@ -114,7 +135,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             places += at
                             base.add(label)
                             weights.append(0.9)
-                found = detections(s)
+                found = detections(s) if may_match(s) else []
                 best = {}
                 for d in found:
                     best[d[3]] = max(best.get(d[3], 0.0), d[4])

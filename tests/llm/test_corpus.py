@@ -406,6 +406,16 @@ def test_license_suppression_against_pairs():
         assert sorted((d[2], d[3], d[4]) for d in kept) == sorted(d[2:] for d in licenses.detections(text))
 
 
+def test_license_gate_lets_all_detections_pass(spark):
+    """Whatever detections() finds, the gate on the raw text lets through."""
+    rnd = random.Random(12)
+    words = ["mit-0", "mit license", "cc by", "cc-by-sa 4.0", "provided as is", "in the\n * public domain", "copyright (c) 2020", "(c) 2021", "spdx-license-identifier:\tisc", "tex\n# live", "do what the fun you want to\npublic license", "all rights\n// reserved", "no rights reserved", "cc0", "dual-licensed", "fair use", "apache.org/licenses/license-2.0", "gpl v3", "x", "der mit", "© 2020"]
+    texts = [rnd.choice([" ", "\n", "\n * "]).join(rnd.choices(words, k=rnd.randint(1, 4))) for _ in range(400)]
+    assert sum(map(bool, map(licenses.detections, texts))) > 300
+    assert all(licenses.may_match(t) for t in texts if licenses.detections(t))
+    assert not licenses.may_match("keit mit einer, der accord")
+
+
 def test_license_base_columns_against_brute_force(spark):
     rnd = random.Random(9)
     voc = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x1", "é"]
