@@ -103,6 +103,18 @@ def scan(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     return docs.mapInArrow(run, schema)
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """The one table a Python worker keeps between batches and tasks: that of the operator it last
+    worked for. Workers serve one operator after another, and tables of all would add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def strings(col: pa.Array) -> pa.Array:
     return pc.fill_null(col, "") if col.null_count else col
 

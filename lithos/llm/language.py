@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import prepare, record, scan, strings
+from .common import held, prepare, record, scan, strings
 
 BITS = 17
 BLOCK = 128
@@ -239,9 +239,6 @@ class Tagger:
         return forward_backward(pot, length, self.model["move"], self.model["start"], i[col == 0] == 0)[row, col], first
 
 
-_taggers: dict[str, Tagger] = {}
-
-
 def identify(docs: DataFrame, label: str = "lang", per_label: int = 400, id_col: str = "doc_id", text_col: str = "text", segments: bool = False, key_col: str | None = None) -> DataFrame:
     """One row per input row: id_col (key_col where given), held_out, lang_pred, score, and with segments the runs of
     words of one language (array of first word, number of words, label).
@@ -262,10 +259,7 @@ def identify(docs: DataFrame, label: str = "lang", per_label: int = 400, id_col:
     key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
 
     def fn(b: pa.RecordBatch):
-        if key not in _taggers:
-            _taggers.clear()
-            _taggers[key] = Tagger(shared.value)
-        tagger = _taggers[key]
+        tagger = held(key, lambda: Tagger(shared.value))
         labels = tagger.model["labels"]
         pred, score, runs = [], [], []
         for r0, r1, data, offs in bt.pieces(strings(b.column(2))):

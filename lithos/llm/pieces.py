@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import prepare, record, strings
+from .common import held, prepare, record, strings
 
 MARK = "▁"
+STEP = 4096
 
 
 class ChunkTable:
-    def __init__(self, model: bytes, bits: int = 20, budget: int = 1 << 20):
+    def __init__(self, model: bytes, bits: int = 20, budget: int = 1 << 19):
         import sentencepiece
 
         self.bits, self.budget = bits, budget
@@ -90,7 +91,9 @@ class ChunkTable:
                     continue
                 i = np.flatnonzero(at < 0)
                 i = i[np.unique(h[i], return_index=True)[1]]
-                self.learn([raw[a:z] for a, z in zip(start[i].tolist(), end[i].tolist(), strict=True)], new)
+                for k in range(0, len(new), STEP):  # few at a time: the library's lists take far more room than the table
+                    some = i[k : k + STEP]
+                    self.learn([raw[a:z] for a, z in zip(start[some].tolist(), end[some].tolist(), strict=True)], new[k : k + STEP])
                 at = self.known.find(h)
             flat = bt.gather(self.digits, self.at[at], self.width[at]).tobytes()
             first = np.searchsorted(start, offs)
@@ -108,9 +111,6 @@ class ChunkTable:
                 yield int(c[r + 1] - c[r]), flat[w[r] : w[r + 1]], text
 
 
-_tables: dict[bytes, ChunkTable] = {}
-
-
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row per input row: id_col, n_tokens, ids_sha256, decoded_sha256, and with keep the
     ids (array<int>) and the decoded text themselves.
@@ -124,10 +124,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hashlib.sha256(shared.value).digest()
-        if key not in _tables:
-            _tables[key] = ChunkTable(shared.value)
-        table = _tables[key]
+        table = held(f"pieces {hashlib.sha256(shared.value).hexdigest()}", lambda: ChunkTable(shared.value))
         for b in batches:
             rows = []
             for n, ids, text in table.encode(strings(b.column(1))):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import prepare, record, scan, strings
+from .common import held, prepare, record, scan, strings
 
 BLOCK_BYTES = 32 << 20
 #: Words of benchmarks are compared without case in A-Z and without the ASCII punctuation around them.
@@ -130,31 +130,25 @@ def coverage(docs: DataFrame, benchmark: DataFrame, match: int = 8, id_col: str
     return out.withColumnRenamed("id", id_col)
 
 
-_blocks: dict[str, tuple] = {}
-
-
 def against(docs: DataFrame, shared, match: int, id_col: str, text_col: str, least: float) -> DataFrame:
     key = uuid4().hex
 
-    def index():
+    def built():
         """Hashed items; for each length of seeds the sorted hashes of all, with item and place of each."""
-        if key not in _blocks:
-            _blocks.clear()
-            hashed, by_size = [], defaultdict(list)
-            for n, (_, t) in enumerate(shared.value):
-                d = np.frombuffer(t, np.uint8)
-                hashed.append(w := numbered(d, np.array([0, len(d)]))[0])
-                if len(w):
-                    size = shortest(len(w), match)
-                    g = bt.grams(w, size)
-                    by_size[size].append((g, np.full(len(g), n, np.int32), np.arange(len(g), dtype=np.int32)))
-            seeds = []
-            for size, each in sorted(by_size.items()):
-                g, item, place = (np.concatenate(x) for x in zip(*each, strict=True))
-                by = np.argsort(g, kind="stable")
-                seeds.append((size, g[by], item[by], place[by]))
-            _blocks[key] = hashed, seeds
-        return _blocks[key]
+        hashed, by_size = [], defaultdict(list)
+        for n, (_, t) in enumerate(shared.value):
+            d = np.frombuffer(t, np.uint8)
+            hashed.append(w := numbered(d, np.array([0, len(d)]))[0])
+            if len(w):
+                size = shortest(len(w), match)
+                g = bt.grams(w, size)
+                by_size[size].append((g, np.full(len(g), n, np.int32), np.arange(len(g), dtype=np.int32)))
+        seeds = []
+        for size, each in sorted(by_size.items()):
+            g, item, place = (np.concatenate(x) for x in zip(*each, strict=True))
+            by = np.argsort(g, kind="stable")
+            seeds.append((size, g[by], item[by], place[by]))
+        return hashed, seeds
 
     def pairs(h: np.ndarray, first: np.ndarray, size: int, known: np.ndarray, item: np.ndarray, place: np.ndarray, lengths: np.ndarray):
         """(text, item) with seeds of this length that may cover enough."""
@@ -182,7 +176,7 @@ def against(docs: DataFrame, shared, match: int, id_col: str, text_col: str, lea
                 yield int(text[lo]), x
 
     def fn(b: pa.RecordBatch):
-        hashed, seeds = index()
+        hashed, seeds = held(key, built)
         ids, rows = b.column(0), []
         lengths = np.array([len(w) for w in hashed])
         for r0, _, data, offs in bt.pieces(strings(b.column(1))):

@@ -8,6 +8,7 @@ is merged.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import prepare, record, strings
+from .common import held, prepare, record, strings
 
 # White space is spelled out: the \s of this library also takes U+001C to U+001F.
 BLANK = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -177,9 +178,6 @@ class Counter:
         return out
 
 
-_counters: dict[int, Counter] = {}
-
-
 def supported(spec: str) -> None:
     j = json.loads(spec)
     pre, model = j["pre_tokenizer"] or {}, j["model"]
@@ -202,10 +200,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     shared = spark.sparkContext.broadcast((spec, proved(spec)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value[0])
-        if key not in _counters:
-            _counters[key] = Counter(*shared.value)
-        counter = _counters[key]
+        counter = held(f"tokens {hashlib.sha256(shared.value[0].encode()).hexdigest()}", lambda: Counter(*shared.value))
         for b in batches:
             yield record(id=b.column(0), n_bytes=b.column(2), n_tokens=counter.count(strings(b.column(1))))
 
