@@ -143,7 +143,7 @@ def hit_sentences(docs: DataFrame, key: str, text: str, phrases: str, most: int
     # each different sentence is normalised and matched once
     held = F.transform(F.array_distinct("s"), lambda s, i: F.struct(i.alias("i"), s.alias("s"), T.let(T.matchable(s), lambda m: F.size(F.filter("ph", lambda p: F.contains(m, p)))).alias("n")))
     rows = rows.select(key, "s", F.filter(held, lambda x: x["n"] > 0).alias("hit"))
-    scored = F.array_sort(F.transform("hit", lambda x: F.struct((-T.sentence_score(x["s"], x["n"])).alias("a"), x["i"].alias("i"), x["s"].alias("s"))))
+    scored = F.array_sort(F.transform("hit", lambda x: F.struct(F.round(-T.sentence_score(x["s"], x["n"]), 9).alias("a"), x["i"].alias("i"), x["s"].alias("s"))))
     best = F.slice(F.transform(scored, lambda x: x["s"]), 1, most)
     return rows.select(key, F.when(F.size("hit") > 0, best).otherwise(F.slice("s", 1, 2)).alias("sentences"))
 
