@@ -40,6 +40,13 @@ def mean_vector(rows: DataFrame, key: list[str], vec: str = "vec", unit: bool =
     return out.withColumn("vec", unit_vector("vec")) if unit else out
 
 
+def mean_of(rows, field: str) -> Column:
+    """Mean of the vectors in a field of an array of structs, for the few vectors of one row."""
+    add = lambda s, x: F.zip_with(s, x[field], lambda a, b: a + b.cast("double"))
+    zero = F.transform(F.element_at(col(rows), 1)[field], lambda x: F.lit(0.0))
+    return F.aggregate(col(rows), zero, add, lambda s: F.transform(s, lambda x: x / F.size(col(rows))))
+
+
 def saturation(n, k: float) -> Column:
     """min(1, log(1 + n) / log(1 + k))."""
     return F.least(F.lit(1.0), F.log1p(col(n).cast("double")) / F.log1p(F.lit(float(k))))

@@ -459,7 +459,7 @@ def embedding_views(spark, sf_dir):
     """Four views of every term, all of length 1 or 0."""
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.array("p_type").alias("m"), F.array("p_brand").alias("d"), blocks.concatenated("p_name", [F.array("p_type"), F.array("p_brand")]).alias("t"))
     v = models.views(p, "p_partkey", "p_name", "m", "d", "t", ENCODER)
-    return v.groupBy("view").agg(F.count("*").alias("n"), F.min((F.abs(V.norm("vec") - 1) < 1e-5) | (V.norm("vec") < 1e-5)).alias("unit"))  # phrases may cancel out
+    return v.groupBy("view").agg(F.count("*").alias("n"), F.min(V.let(V.norm("vec"), lambda n: (F.abs(n - 1) < 1e-5) | (n < 1e-5))).alias("unit"))  # phrases may cancel out
 
 
 @register("SELECT p_partkey, true AS same FROM part")

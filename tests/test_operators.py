@@ -139,6 +139,21 @@ def test_vectors(spark):
     assert one(spark, V.unit_vector("v"), v=[float("nan"), 1.0]) == pytest.approx([0.0, 1.0])
 
 
+def test_views_average_each_list_once(spark):
+    rows = [(i, n, m, d, t) for i, (n, m, d, t) in enumerate([("a b", ["c"], ["d", "a b"], "a b c d"), ("a b", ["c"], ["d"], None), ("e", [], [], "e")] * 2)]
+    terms = spark.createDataFrame(rows, "k long, n string, m array<string>, d array<string>, t string")
+    out = models.views(terms, "k", "n", "m", "d", "t", models.hashing_encoder(16))
+    assert "posexplode" not in out._jdf.queryExecution().toString()  # no row for each place of a vector
+    code = models.hashing_encoder(16)()
+    unit = lambda v: v / (np.linalg.norm(v) + 1e-12)
+    mean = lambda *ps: unit(np.mean([unit(code([p])[0]) for p in ps], axis=0))
+    want = {"E0": [mean("a b"), mean("a b"), mean("e")], "E1": [mean("a b", "d")] * 2 + [mean("e")], "E2": [mean("a b", "c", "d")] * 2 + [mean("e")], "E3": [mean("a b c d"), None, mean("e")]}
+    got = {(r.k, r.view): r.vec for r in out.collect()}
+    assert len(got) == 22
+    for (k, view), v in got.items():
+        assert v == pytest.approx(want[view][k % 3], abs=1e-6)
+
+
 def test_knn_blocks_ties_and_small_tables(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((60, 8)).tolist()
