@@ -498,7 +498,8 @@ def non_neighbours(spark, sf_dir):
 
 @register()
 def encoded_neighbours(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("t"))
+    # a small file is one task: the texts are spread before they are encoded
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("t")).repartition(spark.sparkContext.defaultParallelism, "id")
     return graph.knn(models.encode(p, "t", models.hashing_encoder()), 5).select("i", "j", F.round("sim", 5).alias("sim"), "rank")
 
 

@@ -200,6 +200,19 @@ def test_knn_holds_a_tile_of_products(spark):
     assert top.ids[7].tolist() == np.lexsort((np.arange(len(m)), -sims))[:11].tolist()
 
 
+def test_encoder_gets_each_text_of_a_batch_once(spark):
+    def make():
+        def model(texts):
+            assert len(set(texts)) == len(texts)
+            return np.array([[len(t), 1.0] for t in texts], np.float32)
+
+        return model
+
+    df = spark.createDataFrame([(i, ["a", "bb", None][i % 3]) for i in range(30)], "id int, t string").coalesce(1)
+    got = {r.id: list(r.vec) for r in models.encode(df, "t", make, normalize=False).collect()}
+    assert got == {i: [float([1, 2, 0][i % 3]), 1.0] for i in range(30)}
+
+
 def test_approximate_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     assert graph.recall(graph.approximate_knn(e, 10, tables=40, bits=4), graph.knn(e, 10)).first().recall >= 0.9
