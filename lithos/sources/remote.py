@@ -76,10 +76,13 @@ def fetch(keys: DataFrame, key: str, ask: Callable[[list[str]], dict[str, str]],
                 return {some[0]: (None, repr(e)[:300])} if len(some) == 1 else {k: v for x in some for k, v in call([x]).items()}
 
         for b in batches:
-            each = b["key"].tolist()
+            each, found, since = b["key"].tolist(), [], time.monotonic()
             for i in range(0, len(each), batch):
-                got = call(each[i : i + batch])
-                yield pd.DataFrame([(k, *v) for k, v in got.items()], columns=["key", "body", "error"])
+                found += [(k, *v) for k, v in call(each[i : i + batch]).items()]
+                # a table for every few keys costs more than a fast lookup; a slow one hands on what it has
+                if i + batch >= len(each) or time.monotonic() - since > 1:
+                    yield pd.DataFrame(found, columns=["key", "body", "error"])
+                    found, since = [], time.monotonic()
 
     asked = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct().repartition(workers)
     return asked.mapInPandas(run, "key string, body string, error string")

@@ -139,6 +139,76 @@ def test_vectors(spark):
     assert one(spark, V.unit_vector("v"), v=[float("nan"), 1.0]) == pytest.approx([0.0, 1.0])
 
 
+def test_siblings_of_large_families_are_spread_and_told_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SIBLINGS", 7)
+    rows = [(f"c{i}", "big") for i in range(60)] + [(f"c{i}", "other") for i in range(50, 70)] + [("c1", "big"), ("x", "lone"), (None, "big"), ("c3", None)]
+    out = graph.siblings(spark.createDataFrame(rows, "child string, parent string"))
+    assert sum(n > 0 for n in out.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) > 8
+    kids = {}
+    for c, p in rows:
+        kids.setdefault(p, set()).add(c)
+    want = {(a, b) for p in ("big", "other", "lone") for a in kids[p] for b in kids[p] if a and b and a != b}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_lookup_hands_on_many_keys_at_once(spark, monkeypatch):
+    import pandas as pd
+
+    made, tables = [], []
+
+    class Keys:
+        def select(self, *_):
+            return self
+
+        where = distinct = repartition = alias = select
+
+        def mapInPandas(self, run, schema):
+            made.append(run)
+
+    def ask(keys):
+        if "k5" in keys:
+            raise ValueError("bad")
+        return {k: k + "!" for k in keys}
+
+    remote.fetch(Keys(), "k", ask, batch=4, gap=0.0)
+    keys = [f"k{i}" for i in range(103)]
+    tables += list(made[0](iter([pd.DataFrame({"key": keys[:60]}), pd.DataFrame({"key": keys[60:]})])))
+    assert len(tables) == 2  # not one for every four keys
+    got = pd.concat(tables)
+    assert list(got["key"]) == keys and [k for k, e in zip(got["key"], got["error"], strict=True) if e] == ["k5"]
+    assert all(b == k + "!" for k, b in zip(got["key"], got["body"], strict=True) if k != "k5")
+
+
+def test_extraction_reads_a_repeated_text_once(spark, tmp_path):
+    texts = ["BP was 120/80 mmHg and heart rate 88 bpm.", "none at 5 mmm", "Calcium at 1.8 mmol/L for 3 days.", "EF 35%x"]
+    rows = [(f"c{i}", texts[i % 4]) for i in range(50)]
+    df = spark.createDataFrame(rows, "chunk_key string, text string").coalesce(1)
+    log, plain = tmp_path / "log", extraction.found_in
+
+    def counted(text, vocabulary="rerun"):
+        with log.open("a") as f:
+            f.write("x")
+        return plain(text, vocabulary)
+
+    extraction.found_in = counted
+    try:
+        run = []
+        real = type(df).mapInArrow
+        type(df).mapInArrow = lambda self, f, schema: run.append(f) or real(self, f, schema)
+        extraction.extract(df)
+    finally:
+        type(df).mapInArrow = real
+    import pyarrow as pa
+
+    try:
+        out = [m for b in run[0](iter([pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], names=["k", "t"])])) for m in b.to_pylist()]
+    finally:
+        extraction.found_in = plain
+    assert len(log.read_text()) == 4
+    assert out == [{"k": k} | m for k, t in rows for m in extraction.mentions_in(t)]
+
+
 def test_views_average_each_list_once(spark):
     rows = [(i, n, m, d, t) for i, (n, m, d, t) in enumerate([("a b", ["c"], ["d", "a b"], "a b c d"), ("a b", ["c"], ["d"], None), ("e", [], [], "e")] * 2)]
     terms = spark.createDataFrame(rows, "k long, n string, m array<string>, d array<string>, t string")
