@@ -224,10 +224,8 @@ def measurement_extract(spark, sf_dir):
     text = F.concat(F.lit("BP was "), n + 90, F.lit("/"), n + 50, F.lit(" mmHg and heart rate "), n + 60, F.lit(" bpm. Serum calcium low at "), n, F.lit(".5 mmol/L for "), n + 1, F.lit(" days."))
     # a small file is one row group, thus one task: the keys are spread before texts are made of them
     keys = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").repartition(spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber")
-    rows = keys.select(F.struct("l_orderkey", "l_linenumber").alias("k"), text.alias("text")).select(F.concat_ws("-", "k.l_orderkey", "k.l_linenumber").alias("chunk_key"), "text")
-    m = extraction.extract(rows)
-    part = F.split("chunk_key", "-")
-    return m.select(part[0].cast("long").alias("l_orderkey"), part[1].cast("int").alias("l_linenumber"), "span_start", "surface", "unit", F.coalesce("value.num", "value.systolic").alias("num"))
+    m = extraction.extract_repeated(keys.select("l_orderkey", "l_linenumber", text.alias("text")))
+    return m.select("l_orderkey", "l_linenumber", "span_start", "surface", "unit", F.coalesce("value.num", "value.systolic").alias("num"))
 
 
 SENT = f"s0 AS (SELECT doc_id, string_split(regexp_replace({COMPACT}, '([.?!]) ', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM documents), s AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM s0)"

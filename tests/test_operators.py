@@ -209,6 +209,14 @@ def test_extraction_reads_a_repeated_text_once(spark, tmp_path):
     assert out == [{"k": k} | m for k, t in rows for m in extraction.mentions_in(t)]
 
 
+def test_extraction_of_repeated_texts_gives_every_chunk_its_mentions(spark):
+    texts = ["BP was 120/80 mmHg and heart rate 88 bpm.", "none", None, "Calcium at 1.8 mmol/L for 3 days."]
+    df = spark.createDataFrame([(i, f"c{i % 7}", texts[i % 4]) for i in range(50)], "n int, chunk_key string, text string")
+    shown = ["chunk_key", "span_start", "span_end", "surface", "unit", "value", "anchors_hit", "context", "ref_range", "label_options"]
+    rows = lambda d: sorted(repr(r) for r in d.select(*shown).collect())
+    assert rows(extraction.extract_repeated(df)) == rows(extraction.extract(df)) != []
+
+
 def test_views_average_each_list_once(spark):
     rows = [(i, n, m, d, t) for i, (n, m, d, t) in enumerate([("a b", ["c"], ["d", "a b"], "a b c d"), ("a b", ["c"], ["d"], None), ("e", [], [], "e")] * 2)]
     terms = spark.createDataFrame(rows, "k long, n string, m array<string>, d array<string>, t string")
